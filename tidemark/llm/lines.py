@@ -103,6 +103,7 @@ def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
         texts = settle(texts, "texts")
         near = _near(texts).join(texts, ["d", "l"]).select("h", "g", place.alias("at"), F.lit(True).alias("all"))
         gone = gone.unionByName(near).groupBy("h", "g").agg(F.first("at").alias("at"), F.max("all").alias("all"))
+    gone = settle(gone, "gone")  # so that the join deals out both sides and may split a line that is everywhere
     occurs = lines.select(*ids, "d", "l")
     return occurs.join(gone, ["h", "g"]).where(F.col("all") | (F.col("d") != F.col("at.d")) | (F.col("l") != F.col("at.l"))).select("d", "l")
 
