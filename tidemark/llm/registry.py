@@ -1,8 +1,12 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and their SQL."""
 
-from tidemark.llm import lines, quality
+from tidemark.llm import bpe, decontaminate, lines, neardup, quality
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
+    "op6_token_counts": bpe.op6_token_counts,
+    "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": lines.op9_line_dedup,
 }
