@@ -126,7 +126,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     numbered = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(item, item_text).distinct()
     blocks = max(1, -(-numbered.count() // s.items_at_once))
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, items.schema[item].dataType)])
-    schema = schema.add("similarity", "double").add("first_word", "int").add("n_words", "int")
+    schema = schema.add("similarity", "double").add("first_word", "integer").add("n_words", "integer")
     item_type = to_arrow_type(items.schema[item].dataType)
     out = None
     for b in range(blocks):
