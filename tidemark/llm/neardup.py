@@ -6,7 +6,9 @@
 3. Each class is compared with the leader (smallest id) of every band bucket it is in; of those whose estimate passes,
    the best is confirmed on full sets. That connects groups of any size with at most one confirmation a class.
 4. What is left are pairs in one bucket that are not connected yet. All of them whose estimate passes are confirmed, so
-   the result is that of confirming every candidate pair, without emitting the pairs inside connected groups.
+   the result is that of confirming every candidate pair, without emitting the pairs inside connected groups. Before,
+   a parity sketch rules pairs out for certain: each shingle flips one of its bits, so two sketches differ in no more
+   bits than the sets do in shingles.
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ class Settings:
     percent: int = 80  # least similarity: 100 * intersection >= percent * union
     bands: int = 30  # 30 bands of 5 minima miss a pair of similarity 0.8 with probability 7e-6
     rows: int = 5
+    lanes: int = 256  # minima whose low bits are kept, those of the bands among them
     bits: int = 2  # kept of each minimum
-    sigmas: float = 5.0  # by how much a true pair's bit count may be off
+    sigmas: float = 4.5  # deviations by which a true pair's bit count may be off: 3e-6 of the pairs at the least similarity are off by more
+    parity_bits: int = 2048  # of each set's parity sketch, a multiple of 64
     filter_bits: int = 24  # size of the set of hash bits by which texts to be confirmed are told apart
 
     @property
     def minima(self) -> int:
-        return self.bands * self.rows
+        return max(self.lanes, self.bands * self.rows)
 
     @property
     def longs(self) -> int:
@@ -72,6 +76,7 @@ def _columns(column: pa.Array, s: Settings) -> dict[str, pa.Array]:
     n = len(offsets) - 1
     size, one, two = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     bands, packed = np.zeros((n, s.bands), np.uint64), np.zeros((n, s.bits * s.longs), np.uint64)
+    parity = np.zeros((n, s.parity_bits // 64), np.uint64)
     times = s.multipliers()
     for i, j in words.runs(offsets):
         sets, before = _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], s.shingle)
@@ -82,9 +87,17 @@ def _columns(column: pa.Array, s: Settings) -> dict[str, pa.Array]:
         at = before[:-1][some - i]
         one[some] = np.add.reduceat(words.mix(sets), at)
         two[some] = np.bitwise_xor.reduceat(words.mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at)
+        flipped = np.repeat(np.arange(j - i), np.diff(before)) * s.parity_bits + (sets % np.uint64(s.parity_bits)).astype(np.int64)
+        flipped = np.bincount(flipped, minlength=(j - i) * s.parity_bits).astype(np.uint8) & 1
+        parity[i:j] = np.packbits(flipped.reshape(j - i, -1), axis=1, bitorder="little").view(np.uint64)
         minima = np.empty((s.minima, len(some)), np.uint64)
-        for m in range(s.minima):
-            minima[m] = np.minimum.reduceat(sets * times[m], at)
+        h, high = np.empty_like(sets), np.empty_like(sets)
+        for m in range(s.minima):  # a product alone is no fair choice of a minimum, so its halves are folded and multiplied again
+            np.multiply(sets, times[m], out=h)
+            np.right_shift(h, np.uint64(32), out=high)
+            np.bitwise_xor(h, high, out=h)
+            np.multiply(h, np.uint64(0xD6E8FEB86659FD93), out=h)
+            minima[m] = np.minimum.reduceat(h, at)
         for b in range(s.bands):
             h = np.full(len(some), (b + 1) * words._BASE % 2**64, np.uint64)
             for m in minima[b * s.rows : (b + 1) * s.rows]:
@@ -92,16 +105,16 @@ def _columns(column: pa.Array, s: Settings) -> dict[str, pa.Array]:
             bands[some, b] = h
         for bit in range(s.bits):
             for w in range(s.longs):
-                lanes = minima[64 * w : 64 * (w + 1)]
+                lanes = words.mix(minima[64 * w : 64 * (w + 1)])
                 plane = (lanes >> np.uint64(bit)) & np.uint64(1)
                 packed[some, bit * s.longs + w] = np.bitwise_or.reduce(plane << np.arange(len(lanes), dtype=np.uint64)[:, None], axis=0)
     lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).ravel()))
-    return {"n": pa.array(size), "s1": pa.array(one.view(np.int64)), "s2": pa.array(two.view(np.int64)), "bands": lists(bands), "packed": lists(packed)}
+    return {"n": pa.array(size), "s1": pa.array(one.view(np.int64)), "s2": pa.array(two.view(np.int64)), "bands": lists(bands), "packed": lists(packed), "parity": lists(parity)}
 
 
 def signatures(docs: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """(id, n, s1, s2, bands, packed) of every row with an id."""
-    made = {"n": T.LongType(), "s1": T.LongType(), "s2": T.LongType(), "bands": T.ArrayType(T.LongType()), "packed": T.ArrayType(T.LongType())}
+    """(id, n, s1, s2, bands, packed, parity) of every row with an id."""
+    made = {"n": T.LongType(), "s1": T.LongType(), "s2": T.LongType(), "bands": T.ArrayType(T.LongType()), "packed": T.ArrayType(T.LongType()), "parity": T.ArrayType(T.LongType())}
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"))
     return with_arrow(rows, made, lambda batch: _columns(batch.column("t"), settings), keep=["id"])
 
@@ -118,6 +131,15 @@ def _different(a: Column, b: Column, s: Settings) -> Column:
     return total
 
 
+def _may_be_similar(n: Column, parity: Column, m: Column, other: Column, s: Settings) -> Column:
+    """False only for sets of n and m shingles that differ in too many. Similar sets differ in at most
+    (n + m) * (100 - percent) / (100 + percent) of them."""
+    differ = F.lit(0)
+    for w in range(s.parity_bits // 64):
+        differ = differ + F.bit_count(parity[w].bitwiseXOR(other[w]))
+    return differ * (100 + s.percent) <= (n + m) * (100 - s.percent)
+
+
 def _shingle_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, s: Settings) -> DataFrame:
     """(id, set) for at least the documents in ids (id). Which texts to read is told from 2**filter_bits bits, whose
     number doesn't depend on the data; where they leave doubt more sets than needed are made."""
@@ -163,13 +185,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     s = settings
     marks = settle(signatures(docs, key, text, s), "signatures")
     filled = marks.where("n > 0")
-    classes = filled.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    reps = settle(filled.join(classes, ["s1", "s2"]).where("id = rep").select("rep", "bands", "packed").dropDuplicates(["rep"]), "classes")
+    # written first, as is `named` below, so that the joins deal out both sides and may split a set that many documents have
+    classes = settle(filled.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "class_sets")
+    reps = settle(filled.join(classes, ["s1", "s2"]).where("id = rep").select("rep", "n", "bands", "packed", "parity").dropDuplicates(["rep"]), "classes")
 
     buckets = reps.select("rep", F.explode("bands").alias("k"))
     leaders = buckets.groupBy("k").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("k", "lead")
     buckets = settle(buckets.join(leaders, "k"), "buckets")
-    sign = reps.select("rep", "packed")
+    sign = reps.select("rep", "n", "packed", "parity")
     pairs = buckets.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = pairs.join(sign.select(F.col("rep").alias("a"), F.col("packed").alias("x")), "a").join(sign.select(F.col("rep").alias("b"), F.col("packed").alias("y")), "b")
     pairs = pairs.select("a", "b", _different(F.col("x"), F.col("y"), s).alias("d")).where(F.col("d") <= s.most_different)
@@ -179,10 +202,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     near = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k", "rep", F.coalesce("component", "rep").alias("c"))
     near = settle(near, "near")
-    mixed = near.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
-    near = near.join(mixed, "k", "left_semi").join(sign, "rep")
-    other = near.select("k", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("packed").alias("y"))
-    rest = near.join(other, "k").where((F.col("c") < F.col("d")) & (_different(F.col("packed"), F.col("y"), s) <= s.most_different))
+    mixed = near.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k", "low")
+    near = settle(near.join(mixed, "k").join(sign, "rep"), "mixed")
+    other = near.where("c <> low").select("k", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("packed").alias("y"), F.col("parity").alias("z"))
+    alike = (_different(F.col("packed"), F.col("y"), s) <= s.most_different) & _may_be_similar(F.col("n"), F.col("parity"), F.col("m"), F.col("z"), s)
+    rest = near.join(other, "k").where((F.col("c") < F.col("d")) & alike)
     rest = rest.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     rest = rest.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = settle(rest, "rest")
@@ -190,7 +214,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     if not more.isEmpty():
         found = settle(components(edges.unionByName(more), "a", "b"), "components")
 
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
+    named = settle(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("c")), "named")
     out = filled.select("id", "n", "s1", "s2").join(named, ["s1", "s2"]).select("id", "n", "c").unionByName(marks.where("n = 0").select("id", "n", F.col("id").alias("c")))
     return out.select("id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
 
