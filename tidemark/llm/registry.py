@@ -1,14 +1,19 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and their SQL."""
 
-from tidemark.llm import bpe, decontaminate, lines, neardup, quality
+from tidemark.llm import bpe, decontaminate, lines, neardup, quality, sharding, toxicity, vectors, warc
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op2_warc": warc.op2_warc,
+    "op3_embedding_near_dedup": vectors.op3_embedding_near_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_bpe_round_trip": bpe.op5_bpe_round_trip,
     "op6_token_counts": bpe.op6_token_counts,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": lines.op9_line_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
+#: The others need hashes, tokenizers, archives or models that SQL doesn't have; tests/llm holds them against brute force.
 ORACLES = {"op9_line_dedup": lines.ORACLE}
