@@ -1,15 +1,18 @@
-"""Corpus pipeline: quality, line deduplication, near-duplicates, decontamination, tokens."""
+"""Corpus pipeline: quality, line deduplication, near-duplicates, decontamination, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs, which has the columns of documents; all but the
+last return those columns.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, quality
+from tidemark.llm import bpe, decontaminate, lines, neardup, quality
 from tidemark.llm.storage import settle
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned on the given tables, finds good: probability 0.5 or more."""
@@ -21,14 +24,39 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier like line makes superfluous; documents that lose every line go."""
-    out = lines.dedup_lines(docs)
-    out = out.where("n_removed < n_lines or n_lines = 0")
+    out = lines.dedup_lines(docs).where("n_removed < n_lines or n_lines = 0")
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-STAGES = [("quality", keep_quality), ("line_dedup", dedup_lines)]
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a similarity of 0.8 in shingles of five words, the document with the smallest id."""
+    groups = neardup.near_duplicates(docs)
+    gone = settle(groups.where("not kept").select(F.col("id").alias("doc_id")).distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage like an item of the benchmark."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = settle(found.select("doc_id").distinct(), "leaks")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens: the token ids of each text."""
+    out = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", keep_one_of_near_duplicates),
+    ("decontamination", drop_benchmark_passages),
+    ("byte_bpe", encode),
+]
 
-#: The classifier's weights can't be had in SQL.
+#: The classifier's weights and the tokenizer's merges can't be had in SQL.
 ORACLE_SQL = None
 
 
