@@ -20,8 +20,8 @@ ID = "customer_id"
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Comparable values: floats rounded, a little away from ties so that two engines round alike, whole numbers as bigint."""
-    cast = {"double": lambda c: F.round(c + 3.3e-8, 5), "int": lambda c: c.cast("long"), "date": lambda c: c.cast("string")}
+    """Comparable values: floats rounded, a little away from ties so that two engines round alike, quotients by 1e-9 to millions; whole numbers as bigint."""
+    cast = {"double": lambda c: F.when(F.abs(c) >= 1e11, F.round(c / 1e6) * 1e6).otherwise(F.round(c + 3.3e-8, 5)), "int": lambda c: c.cast("long"), "date": lambda c: c.cast("string")}
     return df.select(*[cast.get(t, lambda c: c)(F.col(f"`{n}`")).alias(n) for n, t in df.dtypes])
 
 

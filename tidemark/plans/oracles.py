@@ -7,8 +7,9 @@ TE = "TIMESTAMP '2024-01-25'"
 
 
 def d(expr: str, name: str) -> str:
-    """A floating result: rounded away from ties, as the query's."""
-    return f'round(CAST({expr} AS DOUBLE) + 3.3e-8, 5) AS "{name}"'
+    """A floating result: rounded away from ties, as the query's; quotients by 1e-9 to millions."""
+    x = f"CAST({expr} AS DOUBLE)"
+    return f'CASE WHEN abs({x}) >= 1e11 THEN round({x} / 1e6) * 1e6 ELSE round({x} + 3.3e-8, 5) END AS "{name}"'
 
 
 def i(expr: str, name: str) -> str:
@@ -168,7 +169,7 @@ _four = [(k, x) for k, x in _cols.items() if x != "zero"]
 ORACLES["corr_pairs"] = _with(TRAIN, " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {d(f'corr({x}, {y})', 'corr')} FROM train" for n, (a, x) in enumerate(_four) for b, y in _four[n + 1 :]))
 ORACLES["folds"] = _with(TRAIN, f"SELECT {i('c', 'customer_id')}, {i('k', 'rank')}, {i('CAST(k >= floor(m * 0.5) AS INT) + CAST(k >= floor(m * 0.6) AS INT) + CAST(k >= floor(m * 0.7) AS INT) + CAST(k >= floor(m * 0.8) AS INT) + CAST(k >= floor(m * 0.9) AS INT)', 'fold')} FROM (SELECT c, row_number() OVER (ORDER BY months, c) - 1 AS k, count(*) OVER () AS m FROM train)")
 ORACLES["model_matrix"] = _with(TRAIN, f"SELECT {i('c', 'customer_id')}, {d('total', 'hist_total_txn')}, {d('s_amt', 'hist_total_amount')}, {d('sd_n', 'hist_std_monthly_txn')}, {d('y', 'y')}, {i('y > 0', 'active')} FROM train")
-PRED = "pred AS (SELECT o_custkey AS c, round(sum(o_totalprice) / 10000, 4) AS p FROM orders GROUP BY o_custkey), band AS (SELECT *, CASE WHEN p <= 50 THEN 'Dormant' WHEN p <= 145 THEN 'At Risk' ELSE 'Active' END AS flag FROM pred)"
+PRED = "pred AS (SELECT o_custkey AS c, round(sum(o_totalprice) / 10000 + 3.3e-8, 4) AS p FROM orders GROUP BY o_custkey), band AS (SELECT *, CASE WHEN p <= 50 THEN 'Dormant' WHEN p <= 145 THEN 'At Risk' ELSE 'Active' END AS flag FROM pred)"
 ORACLES["submission"] = _with(PRED, f"SELECT {i('c_custkey', 'customer_id')}, {d('coalesce(ln(1 + greatest(p, 0)), 0)', 'next_3m_txn_count')} FROM (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT -c_custkey FROM customer WHERE c_custkey % 50 = 0) LEFT JOIN pred ON c_custkey = c")
 ORACLES["ensemble"] = _with(PRED, f"SELECT {i('c', 'customer_id')}, {d('(0.5 * greatest((p + (p - 100)) / 2, 0) + 0.5 * greatest(p / 2, 0)) * (p / (p + 100))', 'prediction')} FROM pred")
 OOF = TRAIN + f""", recent AS (SELECT c, count(*) AS n FROM txn WHERE ts < {T} AND ts >= TIMESTAMP '2000-08-01' GROUP BY c),
