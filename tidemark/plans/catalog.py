@@ -52,7 +52,7 @@ FEATURES = ["hist_months_active", "hist_total_txn", "hist_total_amount", "hist_s
 
 def _train(s: SparkSession, d: str) -> DataFrame:
     rows = assemble.attach(assemble.label_union(data.labels(s, d), data.test_ids(s, d), CFG), _past(s, d).select(ID, *FEATURES), CFG)
-    return rows.where("split = 'train'").fillna(0, FEATURES)
+    return rows.where("split = 'train'").fillna(0, FEATURES).persist()  # one row a customer, used by several jobs
 
 
 def _folded(s: SparkSession, d: str) -> DataFrame:
