@@ -135,11 +135,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     The kept lines stay in order, joined by line feeds; a text that loses every line is empty. A null text stays null,
     with 0 lines; rows without an id stay as they are. Lines are parts between line feeds; all of each text is read.
     """
-    gone = like_lines(docs, key, text, min_words, max_edits).groupBy("d").agg(F.collect_set("l").alias("_gone"))
+    gone = like_lines(docs, key, text, min_words, max_edits).groupBy(F.col("d").alias("_gone_from")).agg(F.collect_set("l").alias("_gone"))
     parts = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*rest).join(gone, F.col(key) == F.col("d"), "left")
+    out = docs.select(*rest).join(gone, F.col(key) == F.col("_gone_from"), "left")
     return out.select(
         *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in rest],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
