@@ -107,6 +107,45 @@ def test_lines_of_odd_rows(spark):
         lines.like_lines(df, max_edits=2)
 
 
+def test_like_lines_bound_grows(spark):
+    rng = random.Random(4)
+    stock = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(rng.randint(5, 75))] for _ in range(30)]
+
+    def edited(w):
+        w = list(w)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["zz", w[at]], [f"y{rng.randrange(9)}"]]) or (["x"] if len(w) == 1 else [])
+        return w
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rows = [edited(rng.choice(stock)) for _ in range(150)] + [["same"] * 50, ["same"] * 55, ["same"] * 56, ["only"] * 20 + ["b"] + ["only"] * 19, ["only"] * 40]
+    for per in (10, 20):
+        bound = lambda a, b: max(1, min(len(a), len(b)) // per)
+        want = {i for i, b in enumerate(rows) for a in rows[:i] if min(len(a), len(b)) >= 5 and distance(a, b) <= bound(a, b)}
+        got = lines.like_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], DOCS), words_per_edit=per)
+        assert {r.d for r in got.collect()} == want
+    one = lines.like_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], DOCS))
+    assert one.count() < len(want)
+
+
+def test_words_numbered_where_hashes_meet(spark):
+    seen, pair = {}, None
+    words = spark.range(5000).select(F.concat(F.lit("w"), "id").alias("w")).withColumn("x", lines._hashed(F.col("w")))
+    for r in words.collect():
+        pair = pair or (r.x in seen and (seen[r.x], r.w))
+        seen[r.x] = r.w
+    df = spark.createDataFrame([([pair[0]] * 3, [pair[1]] * 3), ([pair[0]] * 3, [pair[0]] * 2 + [pair[1]])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(lines._within(F.col("a"), F.col("b"), F.lit(1))).collect()] == [False, True]
+
+
 def test_like_lines_only_equal(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e x")]
     assert [r.d for r in lines.like_lines(spark.createDataFrame(rows, DOCS), max_edits=0).collect()] == [2]

@@ -8,6 +8,14 @@ removed at the same place in both; of an inserted word's pair the longer line's
 are emitted as hashed keys only for lines that share one half with another line, as all pairs within the bound do:
 the edit falls into the first or the last half, and the other half is unchanged. Groups of equal keys are never
 expanded into pairs; each is reduced to its earliest line, which every member is within the bound of.
+
+With words_per_edit the bound grows: two lines of 2 * words_per_edit words or more are alike if at most one word for
+each words_per_edit of the shorter line was inserted, removed or replaced. An edit touches at most GRAM of a line's
+runs of GRAM words, so of two like lines with k edits at most k * GRAM runs of either are missing in the other, and
+under any common order of runs their first k * GRAM + 1 share one. These are the keys; the order puts runs that few
+lines have first, so that a frequent passage is hardly ever a key. Pairs whose lengths or word parities show that they are
+further apart are left out. Each line is compared with the earliest of its
+groups, and what is left with all earlier lines of them, by the true distance in words.
 """
 
 from __future__ import annotations
@@ -21,6 +29,12 @@ from tidemark.llm.storage import settle
 MIN_WORDS = 5
 #: Size of the set of hash bits by which lines without candidates are told apart before their text is shuffled.
 FILTER_BITS = 24
+#: Words of a line for each edit, where the bound grows with the length.
+WORDS_PER_EDIT = 10
+#: Words of the runs by which lines with more than one edit are found; at most half of words_per_edit, so that a run is left.
+GRAM = 3
+#: Runs are counted in 2**COUNT_BITS classes of their hashes, in one of SAMPLE lines; counts only order them.
+COUNT_BITS, SAMPLE = 16, 16
 
 
 def _part(line: Column, count: Column) -> Column:
@@ -74,19 +88,127 @@ def _bits(spark: SparkSession, ids: DataFrame, bits: int) -> DataFrame:
     return part.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda s: s["part"])).alias("bits"))
 
 
-def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1) -> DataFrame:
+def _once(x: Column, f) -> Column:
+    """f(x), where x is computed once although f uses it for each item of an array."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _runs(line: Column, q: int) -> Column:
+    """Hashes of a line's runs of q words, each once."""
+    return _once(F.split(line, " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - q + 1), lambda i: F.xxhash64(F.slice(w, i, q)))))
+
+
+def _counts(spark: SparkSession, runs: DataFrame, bits: int) -> Column:
+    """A constant of 2**bits bytes: for each class of the hashes `x` the binary logarithm of its rows, at most 15. Its
+    size doesn't depend on the data."""
+    found = runs.select(F.pmod("x", F.lit(1 << bits)).cast("int").alias("i")).groupBy("i").agg(F.count("*").alias("b"))
+    logs = bytearray(1 << bits)
+    for r in found.select("i", F.least(F.lit(15), F.ceil(F.log2(F.col("b") + 1))).cast("int").alias("b")).collect():
+        logs[r["i"]] = r["b"]
+    return F.lit(bytes(logs))
+
+
+def _coded(w: Column, code) -> Column:
+    """A word array as a string of one character a word, code(word) of 0 to 2**20 - 1."""
+    return F.decode(F.unhex(F.array_join(F.transform(w, lambda x: F.lpad(F.hex(code(x) + 65536), 8, "0")), "")), "UTF-32")
+
+
+def _hashed(x: Column) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(1 << 20))
+
+
+def _within(a: Column, b: Column, bound: Column) -> Column:
+    """Whether two word arrays are at most bound words inserted, removed or replaced apart. Hashed words can only bring
+    them nearer; where two words of a pair that is near share a hash, words are numbered instead."""
+    near = lambda code: F.call_function("levenshtein", _coded(a, code), _coded(b, code), bound.cast("int")) >= 0
+    apart = lambda words: F.size(F.array_distinct(F.transform(words, _hashed))) == F.size(words)
+    numbered = _once(F.array_union(a, b), lambda words: F.when(apart(words), True).otherwise(near(lambda x: F.array_position(words, x))))
+    return F.when(~near(_hashed), False).otherwise(numbered)
+
+
+def _parity(line: Column) -> Column:
+    """Two numbers of 64 bits: for each class of word hashes whether the line has an odd number of its words. An edit
+    changes at most two bits."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int"))
+    half = lambda at, i: F.aggregate(F.filter(at, lambda x: F.floor(x / 64) == i), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+    return _once(F.transform(F.split(line, " "), lambda x: F.pmod(F.xxhash64(x), F.lit(128))), lambda at: F.struct(half(at, 0).alias("a"), half(at, 1).alias("b")))
+
+
+def _may_be_near(x: str, y: str, per: int) -> Column:
+    """False only for lines that their lengths or parities show to be further apart than the bound."""
+    bound = F.floor(F.least(f"{x}.n", f"{y}.n") / per)
+    bits = sum(F.bit_count(F.col(f"{x}.p.{i}").bitwiseXOR(F.col(f"{y}.p.{i}"))) for i in "ab")
+    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= bound) & (bits <= 2 * bound)
+
+
+def _set(x: str) -> Column:
+    """Whether the bit of the hash x is set in the column bits."""
+    at = f"pmod({x}, {1 << FILTER_BITS})"
+    return F.expr(f"shiftright(bits[cast({at} div 64 as int)], cast({at} % 64 as int)) & 1") == 1
+
+
+def _texts(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """Those of lines (d, l, line, n) whose place is in some (d, l, ...), with its columns."""
+    bits = _bits(lines.sparkSession, some.select(F.xxhash64("d", "l").alias("x")), FILTER_BITS)
+    texts = lines.join(F.broadcast(bits), _set("xxhash64(d, l)")).select("d", "l", "line", "n")  # one row of fixed size
+    return texts.join(some, ["d", "l"])
+
+
+def _near_long(lines: DataFrame, per: int) -> DataFrame:
+    """(h, g, at) of those of lines (d, l, line, n), all of 2 * per words or more, that an earlier one is within the
+    bound of; h and g are hashes of the line, at is its first place."""
+    q = min(GRAM, per // 2)
+    place, edits = F.struct("d", "l"), F.floor(F.col("n") / per)
+    runs = _runs(F.col("line"), q)
+    counts = _counts(lines.sparkSession, lines.where(F.pmod(F.xxhash64("line"), F.lit(SAMPLE)) == 0).select(F.explode(runs).alias("x")), COUNT_BITS)
+    log = lambda x: F.ascii(F.substring(counts, F.pmod(x, F.lit(1 << COUNT_BITS)).cast("int") + 1, F.lit(1)).cast("string"))
+    order = lambda x: F.shiftleft(log(x).cast("long"), 59).bitwiseOR(F.shiftrightunsigned(x, 5))
+    first = F.slice(F.array_sort(F.transform(runs, order)), 1, (edits * q + 1).cast("int"))
+    keyed = lines.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), place.alias("at"), "n", _parity(F.col("line")).alias("p"), first.alias("keys"))
+    keyed = settle(keyed.groupBy("h", "g").agg(F.min(F.struct("at", "n", "p", "keys")).alias("x")).select("h", "g", "x.*"), "long")
+    keys = keyed.select(F.explode("keys").alias("v"), F.struct("at", "n", "p").alias("x"))
+    groups = settle(keys.groupBy("v").agg(F.count("*").alias("members")).where("members > 1").select("v"), "groups")
+    bits = _bits(lines.sparkSession, groups.select(F.col("v").alias("x")), FILTER_BITS)
+    keys = settle(keys.join(F.broadcast(bits), _set("v")).select("v", "x").join(groups, "v", "left_semi"), "keys")
+    low = settle(keys.groupBy("v").agg(F.min("x").alias("y")), "low")
+    pairs = keys.join(low, "v").where((F.col("y.at") < F.col("x.at")) & _may_be_near("x", "y", per))
+    pairs = settle(pairs.select("x.at", F.col("y.at").alias("earlier")).distinct(), "firsts")
+    near = settle(_verified(lines, pairs, per), "near")
+    # those not yet found against all earlier members of their groups
+    left = keys.withColumn("at", F.col("x.at")).join(near, "at", "left_anti").select("v", "x")
+    more = left.join(keys.select("v", F.col("x").alias("y")), "v").where((F.col("y.at") < F.col("x.at")) & _may_be_near("x", "y", per))
+    more = more.select("x.at", F.col("y.at").alias("earlier")).distinct()
+    more = settle(more.join(pairs, ["at", "earlier"], "left_anti"), "pairs")
+    near = near.unionByName(_verified(lines, more, per)).distinct()
+    return keyed.join(near, "at", "left_semi").select("h", "g", "at")
+
+
+def _verified(lines: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
+    """`at` of those of pairs (at, earlier) whose lines are within the bound."""
+    some = pairs.select("at.*").unionByName(pairs.select("earlier.*")).distinct()
+    text = settle(_texts(lines, some).dropDuplicates(["d", "l"]).select(F.struct("d", "l").alias("at"), "line"), "texts")
+    both = pairs.join(text, "at").select("at", "earlier", F.split("line", " ").alias("a")).join(text.select(F.col("at").alias("earlier"), F.split("line", " ").alias("b")), "earlier")
+    bound = F.floor(F.least(F.size("a"), F.size("b")) / per)
+    return both.where((F.abs(F.size("a") - F.size("b")) <= bound) & _within(F.col("a"), F.col("b"), bound)).select("at").distinct()
+
+
+def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = None) -> DataFrame:
     """(d, l): document id and line number of every line that goes.
 
-    max_edits is 0 (equal lines only) or 1. Lines of fewer than min_words words, null texts and rows without an id take
+    max_edits is 0 (equal lines only) or 1; with words_per_edit (4 or more) longer lines have one edit for each so many words. Lines of fewer than min_words words, null texts and rows without an id take
     no part. Rows that share an id count as one document: what is decided for a line number holds in each.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    spark = docs.sparkSession
+    if words_per_edit is not None and (words_per_edit < 4 or not max_edits):
+        raise ValueError("words_per_edit is 4 or more, with max_edits 1")
     lines = _lines(docs, key, text, min_words)
     ids = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
     place = F.struct("d", "l")
-    unique = lines.select(*ids, place.alias("at"), _halves(F.col("line"), F.col("n")).alias("keys"))
+    halves = _halves(F.col("line"), F.col("n"))
+    if words_per_edit:  # a line that may have two edits is here for its pairs with shorter ones only
+        halves = F.when(F.col("n") <= max(2 * words_per_edit, min_words), halves)
+    unique = lines.select(*ids, place.alias("at"), halves.alias("keys"))
     unique = unique.groupBy("h", "g").agg(F.min(F.struct("at", "keys")).alias("x"), F.count("*").alias("copies"))
     unique = settle(unique.select("h", "g", "x.at", "x.keys", "copies"), "lines")
     gone = unique.where("copies > 1").select("h", "g", "at", F.lit(False).alias("all"))
@@ -95,13 +217,12 @@ def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
         shared = shared.where("low <> high").select("k")
         chosen = unique.select("h", "g", "at", F.explode("keys").alias("x")).select("h", "g", "at", "x.*").join(shared, "k", "left_semi")
         chosen = settle(chosen.groupBy("h", "g", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "chosen")
-        bits = _bits(spark, chosen.select(F.xxhash64("at.d", "at.l").alias("x")), FILTER_BITS)
-        x = f"pmod(xxhash64(d, l), {1 << FILTER_BITS})"
-        there = F.expr(f"shiftright(bits[cast({x} div 64 as int)], cast({x} % 64 as int)) & 1") == 1
-        texts = lines.join(F.broadcast(bits), there).select("d", "l", "line", "n")  # one row of fixed size
-        texts = texts.join(chosen.select("at.d", "at.l", "h", "g", "lo", "hi"), ["d", "l"]).dropDuplicates(["h", "g"])
+        texts = _texts(lines, chosen.select("at.d", "at.l", "h", "g", "lo", "hi")).dropDuplicates(["h", "g"])
         texts = settle(texts, "texts")
         near = _near(texts).join(texts, ["d", "l"]).select("h", "g", place.alias("at"), F.lit(True).alias("all"))
+        if words_per_edit:
+            long = lines.where(F.col("n") >= max(2 * words_per_edit, min_words))
+            near = near.unionByName(_near_long(long, words_per_edit).withColumn("all", F.lit(True)))
         gone = gone.unionByName(near).groupBy("h", "g").agg(F.first("at").alias("at"), F.max("all").alias("all"))
     gone = settle(gone, "gone")  # so that the join deals out both sides and may split a line that is everywhere
     occurs = lines.select(*ids, "d", "l")
@@ -129,13 +250,13 @@ def _near(texts: DataFrame) -> DataFrame:
     return found.where(_within_one(F.col("mine"), F.col("w"))).select("at.d", "at.l").distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = None) -> DataFrame:
     """docs without the lines that an earlier like line makes superfluous, and n_lines, n_removed (int).
 
     The kept lines stay in order, joined by line feeds; a text that loses every line is empty. A null text stays null,
     with 0 lines; rows without an id stay as they are. Lines are parts between line feeds; all of each text is read.
     """
-    gone = like_lines(docs, key, text, min_words, max_edits).groupBy(F.col("d").alias("_gone_from")).agg(F.collect_set("l").alias("_gone"))
+    gone = like_lines(docs, key, text, min_words, max_edits, words_per_edit).groupBy(F.col("d").alias("_gone_from")).agg(F.collect_set("l").alias("_gone"))
     parts = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -152,6 +273,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", F.col("text"), F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
 
 
+def op9_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_line_dedup, whose SQL has one edit for lines of any length, with a bound that grows with the length."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = dedup_lines(docs, words_per_edit=WORDS_PER_EDIT)
+    return out.select("doc_id", F.col("text"), F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
+
+
 #: The lines of `src` (doc_id, text, ...) as `kept`: doc_id, text, n_lines, n_removed.
 LINES_SQL = """
 lines AS (
