@@ -24,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that an earlier like line makes superfluous; documents that lose every line go."""
-    out = lines.dedup_lines(docs, words_per_edit=lines.WORDS_PER_EDIT).where("n_removed < n_lines or n_lines = 0")
+    out = lines.dedup_lines(docs, words_per_edit=lines.WORDS_PER_EDIT, short_copies=True).where("n_removed < n_lines or n_lines = 0")
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

@@ -136,6 +136,16 @@ def test_like_lines_bound_grows(spark):
     assert one.count() < len(want)
 
 
+def test_short_copies_go(spark):
+    rows = [(1, "Les.\n\n \nno spaces\n"), (2, "Les.\n\n \nno space\n全文没有空格的一行"), (3, "全文没有空格的一行\nLes\nno spaces"), (4, "one two three four five\none two three four six\none two three four")]
+    gone = lambda **k: {(r.d, r.l) for r in lines.like_lines(spark.createDataFrame(rows, DOCS), **k).collect()}
+    short = {(2, 0), (3, 0), (3, 2)}
+    assert gone() == {(4, 1)} and gone(short_copies=True) == gone(short_copies=True, words_per_edit=10) == short | {(4, 1)}
+    assert gone(short_copies=True, max_edits=0) == short
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.createDataFrame(rows, DOCS), SF)
+    assert {r.doc_id: r.text for r in stage.collect()} == {1: rows[0][1], 2: "\n \nno space\n全文没有空格的一行", 3: "Les", 4: "one two three four five\none two three four"}
+
+
 def test_words_numbered_where_hashes_meet(spark):
     seen, pair = {}, None
     words = spark.range(5000).select(F.concat(F.lit("w"), "id").alias("w")).withColumn("x", lines._hashed(F.col("w")))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.storage import settle
 
-#: Lines of fewer words are never removed: one edit would leave less than four fifths of them equal.
+#: Lines of fewer words are never removed for a line one edit away, which would leave less than four fifths of them equal.
+#: Equal ones are removed with short_copies only.
 MIN_WORDS = 5
 #: Size of the set of hash bits by which lines without candidates are told apart before their text is shuffled.
 FILTER_BITS = 24
@@ -192,20 +193,24 @@ def _verified(lines: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
     return both.where((F.abs(F.size("a") - F.size("b")) <= bound) & _within(F.col("a"), F.col("b"), bound)).select("at").distinct()
 
 
-def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = None) -> DataFrame:
+def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = None, short_copies: bool = False) -> DataFrame:
     """(d, l): document id and line number of every line that goes.
 
-    max_edits is 0 (equal lines only) or 1; with words_per_edit (4 or more) longer lines have one edit for each so many words. Lines of fewer than min_words words, null texts and rows without an id take
-    no part. Rows that share an id count as one document: what is decided for a line number holds in each.
+    max_edits is 0 (equal lines only) or 1; with words_per_edit (4 or more) longer lines have one edit for each so many
+    words. Lines of fewer than min_words words (with short_copies: only their near copies, and lines of nothing but
+    white space), null texts and rows without an id take no part. Rows that share an id count as one document: what is
+    decided for a line number holds in each.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     if words_per_edit is not None and (words_per_edit < 4 or not max_edits):
         raise ValueError("words_per_edit is 4 or more, with max_edits 1")
-    lines = _lines(docs, key, text, min_words)
+    lines = _lines(docs, key, text, 1).where(F.col("line").rlike(r"\S")) if short_copies else _lines(docs, key, text, min_words)
     ids = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
     place = F.struct("d", "l")
     halves = _halves(F.col("line"), F.col("n"))
+    if short_copies:
+        halves = F.when(F.col("n") >= min_words, halves)
     if words_per_edit:  # a line that may have two edits is here for its pairs with shorter ones only
         halves = F.when(F.col("n") <= max(2 * words_per_edit, min_words), halves)
     unique = lines.select(*ids, place.alias("at"), halves.alias("keys"))
@@ -250,13 +255,13 @@ def _near(texts: DataFrame) -> DataFrame:
     return found.where(_within_one(F.col("mine"), F.col("w"))).select("at.d", "at.l").distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = None, short_copies: bool = False) -> DataFrame:
     """docs without the lines that an earlier like line makes superfluous, and n_lines, n_removed (int).
 
     The kept lines stay in order, joined by line feeds; a text that loses every line is empty. A null text stays null,
     with 0 lines; rows without an id stay as they are. Lines are parts between line feeds; all of each text is read.
     """
-    gone = like_lines(docs, key, text, min_words, max_edits, words_per_edit).groupBy(F.col("d").alias("_gone_from")).agg(F.collect_set("l").alias("_gone"))
+    gone = like_lines(docs, key, text, min_words, max_edits, words_per_edit, short_copies).groupBy(F.col("d").alias("_gone_from")).agg(F.collect_set("l").alias("_gone"))
     parts = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -274,9 +279,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op9_line_dedup, whose SQL has one edit for lines of any length, with a bound that grows with the length."""
+    """As op9_line_dedup, whose SQL has one edit for lines of any length and keeps all lines of fewer than five words, with
+    a bound that grows with the length, and without equal lines of any length."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs, words_per_edit=WORDS_PER_EDIT)
+    out = dedup_lines(docs, words_per_edit=WORDS_PER_EDIT, short_copies=True)
     return out.select("doc_id", F.col("text"), F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
 
 
