@@ -1,41 +1,45 @@
 """Line deduplication by a deletion-neighbourhood join, with DataFrame functions only.
 
-A line is its sequence of words, the parts between single spaces. Two lines are alike if at most one word was inserted, removed or replaced. Of like
+A line is its sequence of words, the parts between single spaces. Equal lines are alike at any length, unless they are
+only white space. Of different lines the shorter must have min_words words, and they are alike if at most one word was
+inserted, removed or replaced, or one for each words_per_edit words of the shorter line, where that is more. Of like
 lines the earliest, by document id and line number, is kept: a line goes if any earlier line is like it.
 
-Every line within the bound of another shares a variant with it: the line with one word removed (a replaced word is
-removed at the same place in both; of an inserted word's pair the longer line's variant is the shorter line). Variants
-are emitted as hashed keys only for lines that share one half with another line, as all pairs within the bound do:
-the edit falls into the first or the last half, and the other half is unchanged. Groups of equal keys are never
+One edit: every line within the bound of another shares a variant with it: the line with one word removed (a replaced
+word is removed at the same place in both; of an inserted word's pair the longer line's variant is the shorter line).
+Variants are emitted as hashed keys only for lines that share one half with another line, as all pairs within the bound
+do: the edit falls into the first or the last half, and the other half is unchanged. Groups of equal keys are never
 expanded into pairs; each is reduced to its earliest line, which every member is within the bound of.
 
-With words_per_edit the bound grows: two lines of 2 * words_per_edit words or more are alike if at most one word for
-each words_per_edit of the shorter line was inserted, removed or replaced. An edit touches at most GRAM of a line's
-runs of GRAM words, so of two like lines with k edits at most k * GRAM runs of either are missing in the other, and
-under any common order of runs their first k * GRAM + 1 share one. These are the keys; the order puts runs that few
-lines have first, so that a frequent passage is hardly ever a key. Pairs whose lengths or word parities show that they are
-further apart are left out. Each line is compared with the earliest of its
-groups, and what is left with all earlier lines of them, by the true distance in words.
+More edits: the variants with k words removed are too many, so they are cut short. An edit touches at most GRAM of a
+line's runs of GRAM words, so of two like lines with k edits at most k * GRAM runs of either are missing in the other,
+and under any common order of runs their first k * GRAM + 1 share one. These are the keys; the order puts the runs that
+very many lines have last, so that a frequent passage is hardly ever a key. Keys are dealt out once, as hashes of run
+and line, and those of a single line end there. Lines of a group of up to GROUP are compared with its earliest and, if
+that isn't enough, with each other; what is left of larger ones is keyed again, by the k + 1 words of the line that fewest members
+of the group have (an edit touches one word), so that a large group is never expanded into its pairs. Pairs whose lengths
+or word parities show that they are further apart are left out, the others verified by the true distance in words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import settle
 
 #: Lines of fewer words are never removed for a line one edit away, which would leave less than four fifths of them equal.
-#: Equal ones are removed with short_copies only.
 MIN_WORDS = 5
-#: Size of the set of hash bits by which lines without candidates are told apart before their text is shuffled.
-FILTER_BITS = 24
-#: Words of a line for each edit, where the bound grows with the length.
+#: Words of the shorter line for each edit.
 WORDS_PER_EDIT = 10
 #: Words of the runs by which lines with more than one edit are found; at most half of words_per_edit, so that a run is left.
 GRAM = 3
-#: Runs are counted in 2**COUNT_BITS classes of their hashes, in one of SAMPLE lines; counts only order them.
-COUNT_BITS, SAMPLE = 16, 16
+#: So many runs at most are put last; they are counted in the lines of one of SAMPLE documents, which decides their order alone.
+FREQUENT, SAMPLE = 4096, 64
+#: Members of a group that are compared with each other directly.
+GROUP = 1024
+#: Bits for each line whose text is looked up, in the set by which texts are told apart before they are shuffled, and bits at most.
+BITS_PER_LINE, MOST_BITS = 16, 28
 
 
 def _part(line: Column, count: Column) -> Column:
@@ -43,11 +47,15 @@ def _part(line: Column, count: Column) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), count.cast("int"))
 
 
-def _lines(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
-    """(d, l, line, n): document id, line number from 0, the line and its number of words, of every line that counts."""
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(d, l, line, n): document id, line number from 0, the line and its number of words, of lines that aren't blank."""
     lines = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("d"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("l", "line"))
-    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1)
-    return lines.where(F.col("n") >= min_words)
+    lines = lines.where(F.col("line").rlike("[^\\x09-\\x0D\\x20]"))
+    return lines.withColumn("n", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1).cast("int"))
+
+
+def _ids(line: str = "line") -> list[Column]:
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g")]
 
 
 def _halves(line: Column, n: Column) -> Column:
@@ -78,171 +86,170 @@ def _within_one(a: Column, b: Column) -> Column:
     return F.greatest(F.size(a), F.size(b)) - F.least(begins + ends, least.cast("long")) <= 1
 
 
-def _bits(spark: SparkSession, ids: DataFrame, bits: int) -> DataFrame:
-    """One row `bits`: an array of 2**bits bits, those of the hashes `x` set. Its size doesn't depend on the data."""
-    n = 1 << (bits - 6)
-    at = F.pmod("x", F.lit(1 << bits))
-    some = ids.select(F.floor(at / 64).alias("i"), F.expr(f"shiftleft(1L, cast(pmod(x, {1 << bits}) % 64 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
-    every = spark.range(n).join(some, F.col("id") == F.col("i"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
-    # in two steps, so that what each task sends is a part of the array
-    part = every.groupBy((F.col("id") / 1024).cast("int").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda s: s["b"]).alias("part"))
-    return part.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda s: s["part"])).alias("bits"))
-
-
 def _once(x: Column, f) -> Column:
     """f(x), where x is computed once although f uses it for each item of an array."""
     return F.transform(F.array(x), f)[0]
 
 
 def _runs(line: Column, q: int) -> Column:
-    """Hashes of a line's runs of q words, each once."""
-    return _once(F.split(line, " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - q + 1), lambda i: F.xxhash64(F.slice(w, i, q)))))
-
+    """Hashes of a line's runs of q words, in order; the line has at least q."""
+    run = lambda h: F.transform(F.slice(h, 1, F.size(h) - q + 1), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, q)]))
+    return _once(F.transform(F.split(line, " "), lambda x: F.xxhash64(x)), run)
 
-def _counts(spark: SparkSession, runs: DataFrame, bits: int) -> Column:
-    """A constant of 2**bits bytes: for each class of the hashes `x` the binary logarithm of its rows, at most 15. Its
-    size doesn't depend on the data."""
-    found = runs.select(F.pmod("x", F.lit(1 << bits)).cast("int").alias("i")).groupBy("i").agg(F.count("*").alias("b"))
-    logs = bytearray(1 << bits)
-    for r in found.select("i", F.least(F.lit(15), F.ceil(F.log2(F.col("b") + 1))).cast("int").alias("b")).collect():
-        logs[r["i"]] = r["b"]
-    return F.lit(bytes(logs))
 
-
-def _coded(w: Column, code) -> Column:
-    """A word array as a string of one character a word, code(word) of 0 to 2**20 - 1."""
-    return F.decode(F.unhex(F.array_join(F.transform(w, lambda x: F.lpad(F.hex(code(x) + 65536), 8, "0")), "")), "UTF-32")
-
-
-def _hashed(x: Column) -> Column:
-    return F.pmod(F.xxhash64(x), F.lit(1 << 20))
+def _within(a: Column, b: Column, bound: Column) -> Column:
+    """Whether two word arrays are at most bound words inserted, removed or replaced apart. At most so many distinct words
+    of either are missing in the other. Words are then told apart by 8 bits of their hashes, which can only bring the
+    arrays nearer, and where that leaves them near by their numbers."""
+    both = F.size(F.array_intersect(a, b)) + bound
+    shared = (F.size(F.array_distinct(a)) <= both) & (F.size(F.array_distinct(b)) <= both)
+    join = lambda w, code: F.array_join(F.transform(w, code), "")
+    near = lambda code: F.call_function("levenshtein", join(a, code), join(b, code), bound.cast("int")) >= 0
+    number = lambda words: lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, x) + 65536), 8, "0")), "UTF-32")
+    return shared & near(lambda x: F.char(F.xxhash64(x).bitwiseAND(F.lit(255)))) & _once(F.array_union(a, b), lambda words: near(number(words)))
 
 
-def _within(a: Column, b: Column, bound: Column) -> Column:
-    """Whether two word arrays are at most bound words inserted, removed or replaced apart. Hashed words can only bring
-    them nearer; where two words of a pair that is near share a hash, words are numbered instead."""
-    near = lambda code: F.call_function("levenshtein", _coded(a, code), _coded(b, code), bound.cast("int")) >= 0
-    apart = lambda words: F.size(F.array_distinct(F.transform(words, _hashed))) == F.size(words)
-    numbered = _once(F.array_union(a, b), lambda words: F.when(apart(words), True).otherwise(near(lambda x: F.array_position(words, x))))
-    return F.when(~near(_hashed), False).otherwise(numbered)
+def _texts(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """Those of lines (d, l, line, n) whose place `at` is in some (at, ...), with its columns and without their n.
+
+    Which lines to shuffle is told from a set of hash bits, whose size grows with the places up to 2**MOST_BITS; where
+    it leaves doubt a line is shuffled that isn't needed."""
+    bits = max(16, min(MOST_BITS, (BITS_PER_LINE * some.count()).bit_length()))
+    slot = lambda d, l: F.pmod(F.xxhash64(d, l), F.lit(1 << bits))
+    x = slot("at.d", "at.l")
+    words = some.select(F.floor(x / 64).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int")).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    every = lines.sparkSession.range(1 << (bits - 6)).join(words, F.col("id") == F.col("i"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    # in two steps, so that what each task sends is a part of the set
+    part = every.groupBy((F.col("id") / 1024).cast("int").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "b"))), lambda s: s["b"]).alias("part"))
+    held = part.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda s: s["part"])).alias("bits"))
+    at = slot("d", "l")
+    is_set = F.call_function("shiftright", F.get(F.col("bits"), F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    texts = lines.join(F.broadcast(held), is_set).select(F.struct("d", "l").alias("at"), "line")  # one row, of at most 32 MB
+    return texts.join(some, "at")
+
+
+def _shared_runs(lines: DataFrame, unique: DataFrame, per: int, q: int) -> DataFrame:
+    """(v, h): the keys that more than one of lines has, and the lines' hashes; all lines have 2 * per words or more."""
+    runs, edits = _runs(F.col("line"), q), F.floor(F.col("n") / per)
+    sample = lines.where(F.pmod(F.xxhash64("d"), F.lit(SAMPLE)) == 0).select(F.explode(runs).alias("x"))
+    found = sample.agg(F.call_function("approx_top_k", F.col("x"), F.lit(FREQUENT), F.lit(4 * FREQUENT)).alias("t")).first()["t"]  # a sketch of fixed size
+    last = [r["item"] for r in found or []]
+    order = lambda x: F.when(x.isin(last), x.bitwiseAND(F.lit(2**63 - 1))).otherwise(x.bitwiseOR(F.lit(-(2**63))))
+    keys = F.slice(F.sort_array(F.transform(runs, order)), 1, (edits * q + 1).cast("int"))
+    # a line that makes up more than one of FREQUENT rows, of which there are fewer than FREQUENT, gives its keys once
+    rows = unique.agg(F.sum("copies")).first()[0] or 0
+    hot = [r["h"] for r in unique.where(F.col("copies") > F.lit(max(100, rows // FREQUENT))).select("h").collect()]
+    emit = lambda some: some.select(F.explode(F.array_distinct(keys)).alias("v"), F.xxhash64("line").alias("h"))
+    of = emit(lines.where(~F.xxhash64("line").isin(hot))).unionByName(emit(lines.where(F.xxhash64("line").isin(hot))).distinct()) if hot else emit(lines)
+    group = Window.partitionBy("v")
+    shared = of.withColumns({"lo": F.min("h").over(group), "hi": F.max("h").over(group)}).where("lo <> hi")
+    return shared.select("v", "h").distinct()
 
 
 def _parity(line: Column) -> Column:
     """Two numbers of 64 bits: for each class of word hashes whether the line has an odd number of its words. An edit
-    changes at most two bits."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x % 64).cast("int"))
-    half = lambda at, i: F.aggregate(F.filter(at, lambda x: F.floor(x / 64) == i), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
-    return _once(F.transform(F.split(line, " "), lambda x: F.pmod(F.xxhash64(x), F.lit(128))), lambda at: F.struct(half(at, 0).alias("a"), half(at, 1).alias("b")))
-
-
-def _may_be_near(x: str, y: str, per: int) -> Column:
-    """False only for lines that their lengths or parities show to be further apart than the bound."""
-    bound = F.floor(F.least(f"{x}.n", f"{y}.n") / per)
-    bits = sum(F.bit_count(F.col(f"{x}.p.{i}").bitwiseXOR(F.col(f"{y}.p.{i}"))) for i in "ab")
-    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= bound) & (bits <= 2 * bound)
-
-
-def _set(x: str) -> Column:
-    """Whether the bit of the hash x is set in the column bits."""
-    at = f"pmod({x}, {1 << FILTER_BITS})"
-    return F.expr(f"shiftright(bits[cast({at} div 64 as int)], cast({at} % 64 as int)) & 1") == 1
-
-
-def _texts(lines: DataFrame, some: DataFrame) -> DataFrame:
-    """Those of lines (d, l, line, n) whose place is in some (d, l, ...), with its columns."""
-    bits = _bits(lines.sparkSession, some.select(F.xxhash64("d", "l").alias("x")), FILTER_BITS)
-    texts = lines.join(F.broadcast(bits), _set("xxhash64(d, l)")).select("d", "l", "line", "n")  # one row of fixed size
-    return texts.join(some, ["d", "l"])
-
-
-def _near_long(lines: DataFrame, per: int) -> DataFrame:
-    """(h, g, at) of those of lines (d, l, line, n), all of 2 * per words or more, that an earlier one is within the
-    bound of; h and g are hashes of the line, at is its first place."""
-    q = min(GRAM, per // 2)
-    place, edits = F.struct("d", "l"), F.floor(F.col("n") / per)
-    runs = _runs(F.col("line"), q)
-    counts = _counts(lines.sparkSession, lines.where(F.pmod(F.xxhash64("line"), F.lit(SAMPLE)) == 0).select(F.explode(runs).alias("x")), COUNT_BITS)
-    log = lambda x: F.ascii(F.substring(counts, F.pmod(x, F.lit(1 << COUNT_BITS)).cast("int") + 1, F.lit(1)).cast("string"))
-    order = lambda x: F.shiftleft(log(x).cast("long"), 59).bitwiseOR(F.shiftrightunsigned(x, 5))
-    first = F.slice(F.array_sort(F.transform(runs, order)), 1, (edits * q + 1).cast("int"))
-    keyed = lines.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), place.alias("at"), "n", _parity(F.col("line")).alias("p"), first.alias("keys"))
-    keyed = settle(keyed.groupBy("h", "g").agg(F.min(F.struct("at", "n", "p", "keys")).alias("x")).select("h", "g", "x.*"), "long")
-    keys = keyed.select(F.explode("keys").alias("v"), F.struct("at", "n", "p").alias("x"))
-    groups = settle(keys.groupBy("v").agg(F.count("*").alias("members")).where("members > 1").select("v"), "groups")
-    bits = _bits(lines.sparkSession, groups.select(F.col("v").alias("x")), FILTER_BITS)
-    keys = settle(keys.join(F.broadcast(bits), _set("v")).select("v", "x").join(groups, "v", "left_semi"), "keys")
-    low = settle(keys.groupBy("v").agg(F.min("x").alias("y")), "low")
-    pairs = keys.join(low, "v").where((F.col("y.at") < F.col("x.at")) & _may_be_near("x", "y", per))
-    pairs = settle(pairs.select("x.at", F.col("y.at").alias("earlier")).distinct(), "firsts")
-    near = settle(_verified(lines, pairs, per), "near")
-    # those not yet found against all earlier members of their groups
-    left = keys.withColumn("at", F.col("x.at")).join(near, "at", "left_anti").select("v", "x")
-    more = left.join(keys.select("v", F.col("x").alias("y")), "v").where((F.col("y.at") < F.col("x.at")) & _may_be_near("x", "y", per))
-    more = more.select("x.at", F.col("y.at").alias("earlier")).distinct()
-    more = settle(more.join(pairs, ["at", "earlier"], "left_anti"), "pairs")
-    near = near.unionByName(_verified(lines, more, per)).distinct()
-    return keyed.join(near, "at", "left_semi").select("h", "g", "at")
-
-
-def _verified(lines: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
+    changes at most two bits of each."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda h, by: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(F.shiftrightunsigned(x, by))))
+    return _once(F.transform(F.split(line, " "), lambda x: F.xxhash64(x)), lambda h: F.struct(part(h, 0).alias("a"), part(h, 6).alias("b")))
+
+
+def _may_be_near(per: int) -> Column:
+    """False only for an earlier line y that lengths or parities show to be further from x than the bound, or that isn't
+    earlier."""
+    bound = F.floor(F.least("x.n", "y.n") / per)
+    bits = [F.bit_count(F.col(f"x.p.{i}").bitwiseXOR(F.col(f"y.p.{i}"))) <= 2 * bound for i in "ab"]
+    return (F.col("y.at") < F.col("x.at")) & (F.abs(F.col("x.n") - F.col("y.n")) <= bound) & bits[0] & bits[1]
+
+
+def _candidates(lines: DataFrame, unique: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (at, earlier, lead) of lines that share a key, those with the earliest member of a group (lead) and all others
+    of groups of at most GROUP members; and the larger groups' members (v, x)."""
+    keys = _shared_runs(lines, unique, per, min(GRAM, per // 2)).join(unique.select("h", "at", "n", "p"), "h")
+    keys = settle(keys.select("v", F.struct("at", "n", "p").alias("x")), "keys")
+    low = settle(keys.groupBy("v").agg(F.min("x").alias("y"), F.count("*").alias("c")), "low")
+    pair = lambda df, lead: df.where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier"), F.lit(lead).alias("lead"))
+    few = keys.join(low.where(F.col("c").between(3, GROUP)).select("v"), "v", "left_semi")
+    pairs = pair(keys.join(low, "v"), True).unionByName(pair(few.join(few.select("v", F.col("x").alias("y")), "v"), False))
+    many = settle(keys.join(low.where(F.col("c") > GROUP).select("v"), "v", "left_semi"), "many")
+    return settle(pairs.groupBy("at", "earlier").agg(F.max("lead").alias("lead")), "pairs"), many
+
+
+def _near_long(texts: DataFrame, pairs: DataFrame, many: DataFrame, per: int) -> DataFrame:
+    """(at) of those lines that an earlier one is within the bound of; texts are (at, line)."""
+    texts = texts.select("at", F.split("line", " ").alias("w"))
+    near = settle(_verified(texts, pairs.where("lead"), per), "near")
+    near = settle(near.unionByName(_verified(texts, pairs.where("not lead").join(near, "at", "left_anti"), per)), "near")
+    # members of large groups not yet found: with those earlier members that share a word which few of the group have
+    words = many.join(texts, F.col("x.at") == F.col("at")).select("v", "x", F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).alias("w"))
+    words = settle(words, "words")
+    count = words.groupBy("v", "w").agg(F.count("*").alias("c"))
+    rare = words.join(count, ["v", "w"]).groupBy("v", "x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "w"))), 1, (F.floor(F.first("x.n") / per) + 1).cast("int")).alias("k"))
+    rare = settle(rare.select("v", "x", F.explode("k.w").alias("w")), "rare")
+    mine = rare.join(near.select(F.col("at").alias("gone")), F.col("x.at") == F.col("gone"), "left_anti")
+    more = mine.join(rare.select("v", "w", F.col("x").alias("y")), ["v", "w"]).where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier")).distinct()
+    more = settle(more.join(pairs, ["at", "earlier"], "left_anti"), "more")
+    return near.unionByName(_verified(texts, more, per)).distinct()
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
     """`at` of those of pairs (at, earlier) whose lines are within the bound."""
-    some = pairs.select("at.*").unionByName(pairs.select("earlier.*")).distinct()
-    text = settle(_texts(lines, some).dropDuplicates(["d", "l"]).select(F.struct("d", "l").alias("at"), "line"), "texts")
-    both = pairs.join(text, "at").select("at", "earlier", F.split("line", " ").alias("a")).join(text.select(F.col("at").alias("earlier"), F.split("line", " ").alias("b")), "earlier")
+    both = pairs.join(texts.select("at", F.col("w").alias("a")), "at").join(texts.select(F.col("at").alias("earlier"), F.col("w").alias("b")), "earlier")
     bound = F.floor(F.least(F.size("a"), F.size("b")) / per)
     return both.where((F.abs(F.size("a") - F.size("b")) <= bound) & _within(F.col("a"), F.col("b"), bound)).select("at").distinct()
 
 
-def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = None, short_copies: bool = False) -> DataFrame:
-    """(d, l): document id and line number of every line that goes.
+def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = WORDS_PER_EDIT) -> DataFrame:
+    """(d, l, h): document id, line number and hash of every line that goes.
 
-    max_edits is 0 (equal lines only) or 1; with words_per_edit (4 or more) longer lines have one edit for each so many
-    words. Lines of fewer than min_words words (with short_copies: only their near copies, and lines of nothing but
-    white space), null texts and rows without an id take no part. Rows that share an id count as one document: what is
-    decided for a line number holds in each.
+    max_edits is 0 (equal lines only) or 1; with words_per_edit (4 or more, None for one edit at any length) longer lines
+    have one edit for each so many words. min_words binds lines with an edit alone. Null texts, rows without an id and
+    lines of nothing but white space take no part. Rows that share an id are one document: equal lines of equal number
+    are one line, which no copy of its document removes.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    if words_per_edit is not None and (words_per_edit < 4 or not max_edits):
-        raise ValueError("words_per_edit is 4 or more, with max_edits 1")
-    lines = _lines(docs, key, text, 1).where(F.col("line").rlike(r"\S")) if short_copies else _lines(docs, key, text, min_words)
-    ids = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
-    place = F.struct("d", "l")
-    halves = _halves(F.col("line"), F.col("n"))
-    if short_copies:
-        halves = F.when(F.col("n") >= min_words, halves)
-    if words_per_edit:  # a line that may have two edits is here for its pairs with shorter ones only
-        halves = F.when(F.col("n") <= max(2 * words_per_edit, min_words), halves)
-    unique = lines.select(*ids, place.alias("at"), halves.alias("keys"))
-    unique = unique.groupBy("h", "g").agg(F.min(F.struct("at", "keys")).alias("x"), F.count("*").alias("copies"))
-    unique = settle(unique.select("h", "g", "x.at", "x.keys", "copies"), "lines")
+    if words_per_edit is not None and words_per_edit < 4:
+        raise ValueError("words_per_edit is 4 or more")
+    per = words_per_edit if max_edits else None
+    lines, place = _lines(docs, key, text), F.struct("d", "l")
+    # a line that may have two edits is here for its pairs with shorter ones only
+    short = (F.col("n") >= min_words) & ((F.col("n") <= max(2 * per, min_words)) if per else F.lit(True)) & F.lit(max_edits > 0)
+    long = F.col("n") >= max(2 * per, min_words) if per else F.lit(False)
+    occurs = lines.select(*_ids(), "d", "l", "n", F.when(short, _halves(F.col("line"), F.col("n"))).alias("keys"), F.when(long, _parity(F.col("line"))).alias("p"))
+    occurs = settle(occurs, "lines")
+    unique = occurs.groupBy("h", "g").agg(F.min(F.struct(place.alias("at"), "n", "keys", "p")).alias("x"), F.count("*").alias("copies"))
+    unique = settle(unique.select("h", "g", "x.*", "copies"), "unique")
     gone = unique.where("copies > 1").select("h", "g", "at", F.lit(False).alias("all"))
     if max_edits:
         shared = unique.select("h", F.explode("keys.k").alias("k")).groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))
         shared = shared.where("low <> high").select("k")
-        chosen = unique.select("h", "g", "at", F.explode("keys").alias("x")).select("h", "g", "at", "x.*").join(shared, "k", "left_semi")
-        chosen = settle(chosen.groupBy("h", "g", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "chosen")
-        texts = _texts(lines, chosen.select("at.d", "at.l", "h", "g", "lo", "hi")).dropDuplicates(["h", "g"])
-        texts = settle(texts, "texts")
-        near = _near(texts).join(texts, ["d", "l"]).select("h", "g", place.alias("at"), F.lit(True).alias("all"))
-        if words_per_edit:
-            long = lines.where(F.col("n") >= max(2 * words_per_edit, min_words))
-            near = near.unionByName(_near_long(long, words_per_edit).withColumn("all", F.lit(True)))
-        gone = gone.unionByName(near).groupBy("h", "g").agg(F.first("at").alias("at"), F.max("all").alias("all"))
+        chosen = unique.select("h", "at", F.explode("keys").alias("x")).select("h", "at", "x.*").join(shared, "k", "left_semi")
+        chosen = settle(chosen.groupBy("at").agg(F.min("h").alias("h"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "chosen")
+        places = chosen.select("at")
+        if per:
+            pairs, many = _candidates(lines.where(long), unique.where(long), per)
+            places = places.unionByName(pairs.select("at")).unionByName(pairs.select(F.col("earlier").alias("at"))).unionByName(many.select("x.at")).distinct()
+        texts = settle(_texts(lines, places).dropDuplicates(["at"]), "texts")
+        near = _near(texts.join(chosen, "at"))
+        if per:
+            near = near.unionByName(_near_long(texts, pairs, many, per)).distinct()
+        gone = gone.unionByName(unique.join(near, "at", "left_semi").select("h", "g", "at", F.lit(True).alias("all")))
+        gone = gone.groupBy("h", "g").agg(F.min("at").alias("at"), F.max("all").alias("all"))
     gone = settle(gone, "gone")  # so that the join deals out both sides and may split a line that is everywhere
-    occurs = lines.select(*ids, "d", "l")
-    return occurs.join(gone, ["h", "g"]).where(F.col("all") | (F.col("d") != F.col("at.d")) | (F.col("l") != F.col("at.l"))).select("d", "l")
+    same = (F.col("d") == F.col("at.d")) & (F.col("l") == F.col("at.l"))
+    return occurs.select("h", "g", "d", "l").join(gone, ["h", "g"]).where(F.col("all") | ~same).select("d", "l", "h")
 
 
 def _near(texts: DataFrame) -> DataFrame:
-    """(d, l) of those lines of texts (d, l, h, line, n, lo, hi), all different, that an earlier one is one edit away from."""
-    at = F.struct("d", "l")
+    """(at) of those of texts (at, h, line, lo, hi), all different, that an earlier one is one edit away from."""
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
     before, after = _part(F.col("line"), F.col("p")), _part(F.col("line"), F.col("p") + 1 - F.col("n"))
     without = F.when(F.col("p") == 0, after).when(F.col("p") == F.col("n") - 1, before).otherwise(F.concat(before, F.lit(" "), after))
-    removed = texts.select("d", "l", "line", "n", F.explode(F.sequence("lo", "hi")).alias("p")).select(F.xxhash64(without).alias("v"), "p", "d", "l")
-    variants = settle(removed.unionByName(texts.select(F.col("h").alias("v"), F.lit(-1).alias("p"), "d", "l")), "variants")  # -1: the line itself
+    removed = texts.select("at", "line", n.alias("n"), F.explode(F.sequence("lo", "hi")).alias("p")).select(F.xxhash64(without).alias("v"), "p", "at")
+    variants = settle(removed.unionByName(texts.select(F.col("h").alias("v"), F.lit(-1).alias("p"), "at")), "variants")  # -1: the line itself
     common = variants.groupBy("v").agg(F.count("*").alias("members")).where("members > 1").select("v")
-    variants = settle(variants.join(common, "v", "left_semi").select("v", "p", at.alias("at")), "common")
+    variants = settle(variants.join(common, "v", "left_semi"), "common")
     earliest = variants.groupBy("v", "p").agg(F.min("at").alias("first"))
     by_key = earliest.groupBy("v").agg(F.min(F.when(F.col("p") >= 0, F.col("first"))).alias("shortened"), F.min(F.when(F.col("p") < 0, F.col("first"))).alias("whole"))
     found = (
@@ -250,57 +257,67 @@ def _near(texts: DataFrame) -> DataFrame:
         .unionByName(variants.join(by_key, "v").select("at", F.when(F.col("p") >= 0, F.col("whole")).otherwise(F.col("shortened")).alias("earlier")))
         .where("earlier < at").distinct()
     )
-    text = texts.select(at.alias("at"), F.split("line", " ").alias("w"))
+    text = texts.select("at", F.split("line", " ").alias("w"))
     found = found.join(text, "at").select("at", "earlier", F.col("w").alias("mine")).join(text.select(F.col("at").alias("earlier"), "w"), "earlier")
-    return found.where(_within_one(F.col("mine"), F.col("w"))).select("at.d", "at.l").distinct()
+    return found.where(_within_one(F.col("mine"), F.col("w"))).select("at").distinct()
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = None, short_copies: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = WORDS_PER_EDIT) -> DataFrame:
     """docs without the lines that an earlier like line makes superfluous, and n_lines, n_removed (int).
 
     The kept lines stay in order, joined by line feeds; a text that loses every line is empty. A null text stays null,
     with 0 lines; rows without an id stay as they are. Lines are parts between line feeds; all of each text is read.
+    Columns named n_lines or n_removed are replaced, all others kept, whatever their names.
     """
-    gone = like_lines(docs, key, text, min_words, max_edits, words_per_edit, short_copies).groupBy(F.col("d").alias("_gone_from")).agg(F.collect_set("l").alias("_gone"))
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    gone = like_lines(docs, key, text, min_words, max_edits, words_per_edit).groupBy("d").agg(F.collect_set(F.struct("l", "h")).alias("g"))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*rest).join(gone, F.col(key) == F.col("_gone_from"), "left")
+    whole = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    parts = F.split("t", "\n", -1)
+    left = F.filter(parts, lambda x, i: ~F.array_contains("g", F.struct(i.alias("l"), F.xxhash64(x).alias("h"))))
+    out = whole.join(gone, F.col("k") == F.col("d"), "left").withColumn("left", F.when(F.col("g").isNotNull(), left))
+    n = F.when(F.col("t").isNull(), 0).otherwise(F.size(parts))
     return out.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in rest],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
-    )
+        *[F.when(F.col("g").isNull(), F.col("t")).otherwise(F.array_join("left", "\n")).alias(c) if c == text else F.col("row")[c].alias(c) for c in rest],
+        n.alias("n_lines"), F.when(F.col("g").isNull(), 0).otherwise(n - F.size("left")).alias("n_removed"),
+    )
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier like line makes superfluous."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", F.col("text"), F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
 
 
-def op9_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op9_line_dedup, whose SQL has one edit for lines of any length and keeps all lines of fewer than five words, with
-    a bound that grows with the length, and without equal lines of any length."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs, words_per_edit=WORDS_PER_EDIT, short_copies=True)
-    return out.select("doc_id", F.col("text"), F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
-
-
-#: The lines of `src` (doc_id, text, ...) as `kept`: doc_id, text, n_lines, n_removed.
-LINES_SQL = """
-lines AS (
-  SELECT doc_id, i - 1 AS l, parts[i] AS line, string_split(parts[i], ' ') AS w
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {src} WHERE text IS NOT NULL), LATERAL unnest(range(1, len(parts) + 1)) AS u(i)),
-long_lines AS (SELECT doc_id * 1000000 + l AS o, w, len(w) AS n, md5(array_to_string(w, ' ')) AS h FROM lines WHERE len(w) >= 5),
-firsts AS (SELECT h, min(o) AS o, any_value(w) AS w, any_value(n) AS n FROM long_lines GROUP BY h),
-variants AS (SELECT o, p, md5(array_to_string(list_filter(w, lambda x, j: j <> p), ' ')) AS v FROM firsts, LATERAL unnest(range(1, n + 1)) AS u(p)),
-replaced AS (SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY v, p) AS first FROM variants) WHERE first < o),
-inserted AS (SELECT CASE WHEN a.o > b.o THEN a.o ELSE b.o END AS o FROM variants a JOIN firsts b ON a.v = b.h),
-near AS (SELECT h FROM firsts WHERE o IN (SELECT o FROM replaced UNION SELECT o FROM inserted)),
-gone AS (SELECT x.o FROM long_lines x JOIN firsts f USING (h) WHERE x.o > f.o OR x.h IN (SELECT h FROM near)),
+#: The same in SQL. Lines of up to 20 words meet by their variants, longer ones by the number of runs of three words that
+#: both have; the distance in words fills a band of the table of distances row by row.
+ORACLE = f"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, doc_id * 1000000 + i AS o, parts[i] AS line, regexp_matches(parts[i], '[^\\x09-\\x0D\\x20]') AS counts
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), LATERAL unnest(range(1, len(parts) + 1)) AS u(i)),
+firsts AS MATERIALIZED (SELECT min(o) AS o, line, string_split(line, ' ') AS w, len(w) AS n FROM lines WHERE counts GROUP BY line),
+variants AS (SELECT o, p, md5(array_to_string(list_filter(w, lambda x, j: j <> p), ' ')) AS v FROM firsts, LATERAL unnest(range(1, n + 1)) AS u(p) WHERE n BETWEEN {MIN_WORDS} AND {2 * WORDS_PER_EDIT}),
+near_short AS (
+  SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY v, p) AS first FROM variants) WHERE first < o
+  UNION SELECT greatest(a.o, b.o) FROM variants a JOIN firsts b ON a.v = md5(b.line) AND b.n >= {MIN_WORDS}),
+runs AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY o) AS c FROM (SELECT DISTINCT o, n, md5(array_to_string(w[p:p + 2], ' ')) AS r FROM firsts, LATERAL unnest(range(1, n - 1)) AS u(p) WHERE n >= {2 * WORDS_PER_EDIT})),
+pairs AS MATERIALIZED (
+  SELECT x.o AS a, y.o AS b, least(x.n, y.n) // {WORDS_PER_EDIT} AS k, f.w AS aw, g.w AS bw
+  FROM (SELECT x.o AS a, y.o AS b FROM runs x JOIN runs y ON x.r = y.r AND x.o < y.o AND abs(x.n - y.n) <= least(x.n, y.n) // {WORDS_PER_EDIT}
+        GROUP BY x.o, y.o HAVING count(*) >= greatest(any_value(x.c), any_value(y.c)) - 3 * (least(any_value(x.n), any_value(y.n)) // {WORDS_PER_EDIT})) z
+  JOIN firsts f ON z.a = f.o JOIN firsts g ON z.b = g.o JOIN firsts x ON x.o = f.o JOIN firsts y ON y.o = g.o),
+steps AS (
+  SELECT a, b, 0 AS i, list_transform(range(1, 2 * k + 2), lambda s: CASE WHEN s - 1 < k THEN 1000000 ELSE s - 1 - k END) AS band FROM pairs
+  UNION ALL
+  SELECT a, b, i, list_transform(range(1, 2 * k + 2), lambda s: s + list_min(list_transform(t[1:s], lambda x, p: x - p))) AS band
+  FROM (SELECT s.a, s.b, s.i + 1 AS i, k, list_transform(range(1, 2 * k + 2), lambda p: CASE
+          WHEN s.i + p - k < 0 OR s.i + p - k > len(bw) THEN 1000000
+          WHEN s.i + p - k = 0 THEN coalesce(band[p + 1], 1000000) + 1
+          ELSE least(coalesce(band[p + 1], 1000000) + 1, band[p] + CAST(aw[s.i + 1] <> bw[s.i + p - k] AS BIGINT)) END) AS t
+        FROM steps s JOIN pairs USING (a, b) WHERE s.i < len(aw) AND list_min(band) <= k)),
+near AS (SELECT o FROM near_short UNION SELECT b FROM steps JOIN pairs USING (a, b) WHERE i = len(aw) AND band[len(bw) - len(aw) + k + 1] <= k),
+gone AS (SELECT x.o FROM lines x JOIN firsts f USING (line) WHERE counts AND (x.o > f.o OR f.o IN (SELECT o FROM near))),
 kept AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY l) FILTER (WHERE g IS NULL), '') AS text, count(*) AS n_lines, count(g) AS n_removed
-  FROM (SELECT lines.*, gone.o AS g FROM lines LEFT JOIN gone ON doc_id * 1000000 + l = gone.o) GROUP BY doc_id)
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY lines.o) FILTER (WHERE gone.o IS NULL), '') AS text, count(*) AS n_lines, count(gone.o) AS n_removed
+  FROM lines LEFT JOIN gone ON lines.o = gone.o GROUP BY doc_id)
+SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed FROM documents d LEFT JOIN kept k USING (doc_id)
 """
-
-ORACLE = f"WITH {LINES_SQL.format(src='documents')} SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed FROM documents d LEFT JOIN kept k USING (doc_id)"

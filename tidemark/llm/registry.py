@@ -12,7 +12,6 @@ QUERIES = {
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": lines.op9_line_dedup,
-    "op9_line_dedup_long": lines.op9_line_dedup_long,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
