@@ -84,6 +84,7 @@ def test_components_of_a_path_and_a_star(spark):
 def test_lines_equal_sql(spark):
     rng = random.Random(2)
     stock = [" ".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    long = [[f"{rng.choice('abcdefghijklm')}{rng.randrange(40)}" for _ in range(rng.randint(15, 60))] for _ in range(6)]
 
     def edited(line):
         w = line.split(" ")
@@ -91,6 +92,7 @@ def test_lines_equal_sql(spark):
         return " ".join(rng.choice([w, w[:at] + w[at + 1 :], w[:at] + ["zz"] + w[at:], w[:at] + ["yy"] + w[at + 1 :]]))
 
     rows = [(i, "\n".join(edited(rng.choice(stock)) for _ in range(rng.randint(1, 8)))) for i in range(60)] + [(60, None), (61, ""), (62, LONG[:900]), (63, "a\n\n\na")]
+    rows += [(100 + i, "\n".join(edited(edited(" ".join(rng.choice(long)))) for _ in range(3))) for i in range(20)]
     got = lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
@@ -99,9 +101,12 @@ def test_lines_equal_sql(spark):
 
 
 def test_lines_of_odd_rows(spark):
-    df = spark.createDataFrame([*ODD, (6, "same text twice, word for word")], DOCS).withColumns({"n_lines": F.lit("x"), "h": F.lit(1), "d": F.lit(2)})
+    rows = [*ODD, (6, "same text twice, word for word"), (8, "all different in this one"), (8, "not at all like the other one")]
+    df = spark.createDataFrame([*rows, (9, "all different in this one")], DOCS).withColumns({c: F.lit(i) for i, c in enumerate(["n_lines", "h", "d", "g", "k", "t", "row", "left", "_gone", "_gone_from"])})
     got = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()), key=str)
     assert (6, "", 1, 1) in got and (1, None, 0, 0) in got and got.count((5, "same text twice, word for word", 1, 0)) == 2 and (0, "no id here at all", 1, 0) in got
+    assert (9, "", 1, 1) in got and (8, "all different in this one", 1, 0) in got and (8, "not at all like the other one", 1, 0) in got
+    assert {r._gone for r in lines.dedup_lines(df).collect()} == {8}
     assert lines.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
     with pytest.raises(ValueError):
         lines.like_lines(df, max_edits=2)
@@ -132,28 +137,32 @@ def test_like_lines_bound_grows(spark):
         want = {i for i, b in enumerate(rows) for a in rows[:i] if min(len(a), len(b)) >= 5 and distance(a, b) <= bound(a, b)}
         got = lines.like_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], DOCS), words_per_edit=per)
         assert {r.d for r in got.collect()} == want
-    one = lines.like_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], DOCS))
+    one = lines.like_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], DOCS), words_per_edit=None)
     assert one.count() < len(want)
 
 
+def test_like_lines_of_a_large_group(spark, monkeypatch):
+    """Lines that share a long passage are one group of keys; they are told apart by their own words."""
+    monkeypatch.setattr(lines, "GROUP", 3)
+    test_like_lines_bound_grows(spark)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{' '.join(f'w{i // 2}x{j}' for j in range(11))} {passage} {'z' * (i % 2)}e") for i in range(60)]
+    assert {r.d for r in lines.like_lines(spark.createDataFrame(rows, DOCS)).collect()} == set(range(1, 60, 2))
+
+
 def test_short_copies_go(spark):
     rows = [(1, "Les.\n\n \nno spaces\n"), (2, "Les.\n\n \nno space\n全文没有空格的一行"), (3, "全文没有空格的一行\nLes\nno spaces"), (4, "one two three four five\none two three four six\none two three four")]
     gone = lambda **k: {(r.d, r.l) for r in lines.like_lines(spark.createDataFrame(rows, DOCS), **k).collect()}
     short = {(2, 0), (3, 0), (3, 2)}
-    assert gone() == {(4, 1)} and gone(short_copies=True) == gone(short_copies=True, words_per_edit=10) == short | {(4, 1)}
-    assert gone(short_copies=True, max_edits=0) == short
+    assert gone() == gone(words_per_edit=None) == short | {(4, 1)} and gone(max_edits=0) == short
     stage = dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.createDataFrame(rows, DOCS), SF)
     assert {r.doc_id: r.text for r in stage.collect()} == {1: rows[0][1], 2: "\n \nno space\n全文没有空格的一行", 3: "Les", 4: "one two three four five\none two three four"}
 
 
 def test_words_numbered_where_hashes_meet(spark):
-    seen, pair = {}, None
-    words = spark.range(5000).select(F.concat(F.lit("w"), "id").alias("w")).withColumn("x", lines._hashed(F.col("w")))
-    for r in words.collect():
-        pair = pair or (r.x in seen and (seen[r.x], r.w))
-        seen[r.x] = r.w
-    df = spark.createDataFrame([([pair[0]] * 3, [pair[1]] * 3), ([pair[0]] * 3, [pair[0]] * 2 + [pair[1]])], "a array<string>, b array<string>")
-    assert [r[0] for r in df.select(lines._within(F.col("a"), F.col("b"), F.lit(1))).collect()] == [False, True]
+    """Words whose 8 bits are equal are still different words."""
+    df = spark.createDataFrame([([f"w{i}"] * 3, [f"w{j}"] * 3) for i in range(40) for j in range(i)], "a array<string>, b array<string>")
+    assert {r[0] for r in df.select(lines._within(F.col("a"), F.col("b"), F.lit(1))).collect()} == {False}
 
 
 def test_like_lines_only_equal(spark):
@@ -280,10 +289,33 @@ def test_warc_foreign_and_empty(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record) * 2)
     assert [bytes(r.payload) for r in warc.read_warc(spark, f"file://{tmp_path}").collect()] == [b"hi"] * 5
     assert warc.read_warc(spark, f"file://{tmp_path}", payload=False).where("record_type = 'revisit'").count() == 0
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "whole.warc.gz").write_bytes(gzip.compress(record * 2 + record.replace(b"sha1:", b"sha256:")) + gzip.compress(record.replace(base64.b32encode(hashlib.sha1(b"hi").digest()), hashlib.sha1(b"hi").hexdigest().encode())))
+    sha1 = base64.b32encode(hashlib.sha1(b"hi").digest()).decode()
+    assert [(bytes(r.payload), r.payload_digest) for r in warc.read_warc(spark, f"file://{tmp_path}/c").collect()] == [(b"hi", sha1)] * 2 + [(b"hi", f"sha256:{sha1}"), (b"hi", sha1)]
+    assert warc.read_warc(spark, f"file://{tmp_path}/c", payload=False).where("record_type = 'response'").count() == 4
     warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_cut_off(tmp_path):
+    import gzip
+
+    def read(name, data, payload):
+        (tmp_path / name).write_bytes(data)
+        reader = warc._Reader({"path": f"file://{tmp_path}/{name}", "payload": payload}, None)
+        return [row for part in reader.partitions() for row in reader.records(part)]
+
+    record = warc.encode_record("response", "urn:x:1", "http://a", None, hashlib.sha1(b"hi" * 90).digest(), 180, b"hi" * 90)
+    for name, data in (("own.warc.gz", warc._member(record)), ("foreign.warc.gz", gzip.compress(record)), ("plain.warc", record.rstrip(b"\r\n"))):
+        assert len(read(name, data, "true")) == len(read(name, data, "false")) == 1
+        for size in (len(data) - 12, 60, 30):
+            with pytest.raises(ValueError):
+                read(name, data[:size], "true")
+    with pytest.raises(ValueError):
+        read("b.warc", record.replace(b"Content-Length: 2", b"Content-Size: 2"), "true")
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))

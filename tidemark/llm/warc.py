@@ -1,17 +1,20 @@
 """WARC archives as a Spark data source, and an operator that archives pages with revisit records.
 
 Files are .warc.gz, one gzip member for each record, with the member's length in its header's `sl` extra field; of
-others (.warc, or members without that field) whole files are read. The source plans partitions from the byte offsets
+others (.warc, or gzip streams without that field, however cut into members) whole files are read. The source plans partitions from the byte offsets
 that the writer's manifest gives, takes over filters on the record type and on headers, reads a record's headers first,
-and leaves its payload compressed and unread if a filter rejects the record or no payload is wanted.
+and leaves its payload compressed and unread if a filter rejects the record or no payload is wanted. A file or record
+that is cut off, or has no length, raises ValueError.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -73,6 +76,17 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:]) if k}
 
 
+def digest_of(field: str | None) -> str | None:
+    """A SHA-1 in upper-case base32, from base32 or hexadecimal; those of other algorithms as they are, with their name
+    and a colon. Only SHA-1 is verified."""
+    if not field:
+        return None
+    name, colon, value = field.rpartition(":")
+    if colon and name.lower() not in ("sha1", "sha-1"):
+        return field
+    return base64.b32encode(bytes.fromhex(value)).decode() if re.fullmatch("[0-9A-Fa-f]{40}", value) else value.upper()
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[dict]
@@ -183,66 +197,113 @@ class _Reader(DataSourceReader):
             at, end = part.start, part.end if part.end is not None else raw.size()
             while at < end:
                 f.seek(at)
-                row, at = (self.member if f.peek(2)[:2] == b"\x1f\x8b" else self.plain)(f, at, end)
+                head = f.peek(24)[:24]
+                if head[:2] == b"\x1f\x8b" and not (len(head) == 24 and head[3] & 4 and head[12:14] == b"sl"):
+                    yield from self.stream(f)  # members of unknown length: the rest of the file is read as one stream
+                    return
+                row, at = (self.member if head[:2] == b"\x1f\x8b" else self.plain)(f, at, end)
                 if row is not None:
                     yield row
 
     def member(self, f: io.BufferedReader, at: int, end: int) -> tuple[dict | None, int]:
-        head = f.read(24)
-        size = struct.unpack("<I", head[16:20])[0] if head[3] & 4 and head[12:14] == b"sl" else None
+        """A record that is a gzip member with its length in the `sl` field; only wanted blocks are decoded."""
+        then = at + struct.unpack("<I", f.read(24)[16:20])[0]
         f.seek(at)
         unzip, got = zlib.decompressobj(31), b""
+
+        def more(size: int) -> bytes:
+            data = unzip.unconsumed_tail or f.read(min(65536, max(0, then - f.tell())))
+            out = unzip.decompress(data, size)
+            if not (data or out or unzip.eof):
+                raise ValueError("a gzip member is cut off")
+            return out
+
         while b"\r\n\r\n" not in got and not unzip.eof:
-            got += unzip.decompress(unzip.unconsumed_tail or f.read(2048), 4096)
+            got += more(4096)
         headers, _, rest = got.partition(b"\r\n\r\n")
         row, fields = self.row(headers)
-        if size is not None and (row is None or not self.payload):
-            return row, at + size
+        if row is None or not self.payload:
+            return row, then
         block = [rest]
         while not unzip.eof:
-            more = unzip.unconsumed_tail or f.read(65536)
-            if not more:
-                raise ValueError("a gzip member is cut off")
-            block.append(unzip.decompress(more, 1 << 20))
-        then = f.tell() - len(unzip.unused_data)
+            block.append(more(1 << 20))
         return self.filled(row, fields, b"".join(block)), then
 
+    def stream(self, f: io.BufferedReader) -> Iterator[dict]:
+        """All records of gzip members that follow each other, however they are cut into members."""
+        unzipped = io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 20)
+        try:
+            while (found := self.next(unzipped)) is not None:
+                row, fields, length = found
+                wanted, block = row is not None and self.payload, []
+                for size in self.pieces(length):
+                    piece = unzipped.read(size)
+                    if len(piece) < size:
+                        raise ValueError("a WARC record is cut off")
+                    if wanted:
+                        block.append(piece)
+                if row is not None:
+                    yield self.filled(row, fields, b"".join(block)) if wanted else row
+        except EOFError:
+            raise ValueError("a gzip member is cut off") from None
+
     def plain(self, f: io.BufferedReader, at: int, end: int) -> tuple[dict | None, int]:
+        found = self.next(f)
+        if found is None:
+            return None, end
+        row, fields, length = found
+        start = f.tell()
+        if start + length > end:
+            raise ValueError("a WARC record is cut off")
+        if row is not None and self.payload:
+            row = self.filled(row, fields, f.read(length))
+        return row, start + length
+
+    @staticmethod
+    def pieces(length: int) -> Iterator[int]:
+        for done in range(0, length, 1 << 20):
+            yield min(1 << 20, length - done)
+
+    def next(self, f) -> tuple[dict | None, dict, int] | None:
+        """Row, fields and block length of the record that begins at f, after empty lines; None at the end."""
         lines = []
         while True:
             line = f.readline()
-            if not line.strip():
-                if lines or not line:
-                    break
-                continue
-            lines.append(line)
+            if line.strip():
+                lines.append(line)
+            elif not line and lines:
+                raise ValueError("a WARC record is cut off")
+            elif lines or not line:
+                break
         if not lines:
-            return None, end
+            return None
         row, fields = self.row(b"".join(lines).rstrip(b"\r\n"))
-        start, length = f.tell(), int(fields["content-length"])
-        if row is not None and self.payload:
-            row = self.filled(row, fields, f.read(length))
-        return row, start + length + 4
+        if not fields.get("content-length", "").isdigit():
+            raise ValueError(f"a WARC record has no length: {lines[0][:40]!r}")
+        return row, fields, int(fields["content-length"])
 
     def row(self, head: bytes) -> tuple[dict | None, dict]:
         fields = parse_headers(head)
         row = {c: fields.get(h.lower()) for c, h in _HEADERS.items()} | {"payload": None}
         for c in ("record_id", "refers_to"):
             row[c] = row[c].strip("<>") if row[c] else row[c]
-        if row["payload_digest"]:
-            row["payload_digest"] = row["payload_digest"].removeprefix("sha1:").upper()
+        row["payload_digest"] = digest_of(row["payload_digest"])
         row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
         return (row if self.wanted(row) else None), fields
 
     def filled(self, row: dict | None, fields: dict, block: bytes) -> dict | None:
         if row is None or row["record_type"] == "revisit":
             return row
-        block = block[: int(fields["content-length"])]
+        length = int(fields["content-length"])
+        if len(block) < length:
+            raise ValueError("a WARC record is cut off")
+        block = block[:length]
         payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
-        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if self.verify or not row["payload_digest"] else None
-        if digest and row["payload_digest"] and digest != row["payload_digest"]:
+        given = row["payload_digest"]
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if self.verify or not given else None
+        if digest and given and ":" not in given and digest != given:
             raise ValueError(f"payload of {row['record_id']} differs from its digest")
-        return row | {"payload": payload, "payload_length": len(payload), "payload_digest": row["payload_digest"] or digest}
+        return row | {"payload": payload, "payload_length": len(payload), "payload_digest": given or digest}
 
 
 class WarcSource(DataSource):
@@ -294,9 +355,12 @@ def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archive: responses with their payloads, which are checked against their
+    digests, revisits by the pushed-down record type without decoding a block."""
     path = new_path(spark, "warc")
     archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")
-    return read_warc(spark, path).select(
+    records = read_warc(spark, path).where("record_type = 'response'").unionByName(read_warc(spark, path, payload=False).where("record_type = 'revisit'"))
+    return records.select(
         number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to")
     )
