@@ -17,8 +17,8 @@ and under any common order of runs their first k * GRAM + 1 share one. These are
 very many lines have last, so that a frequent passage is hardly ever a key. Keys are dealt out once, as hashes of run
 and line, and those of a single line end there. Lines of a group of up to GROUP are compared with its earliest and, if
 that isn't enough, with each other; what is left of larger ones is keyed again, by the k + 1 words of the line that fewest members
-of the group have (an edit touches one word), so that a large group is never expanded into its pairs. Pairs whose lengths
-or word parities show that they are further apart are left out, the others verified by the true distance in words.
+of the group have (an edit touches one word), so that a large group is never expanded into its pairs. Pairs
+whose lengths are too different are left out, the others verified by the true distance in words.
 """
 
 from __future__ import annotations
@@ -98,15 +98,11 @@ def _runs(line: Column, q: int) -> Column:
 
 
 def _within(a: Column, b: Column, bound: Column) -> Column:
-    """Whether two word arrays are at most bound words inserted, removed or replaced apart. At most so many distinct words
-    of either are missing in the other. Words are then told apart by 8 bits of their hashes, which can only bring the
-    arrays nearer, and where that leaves them near by their numbers."""
-    both = F.size(F.array_intersect(a, b)) + bound
-    shared = (F.size(F.array_distinct(a)) <= both) & (F.size(F.array_distinct(b)) <= both)
-    join = lambda w, code: F.array_join(F.transform(w, code), "")
-    near = lambda code: F.call_function("levenshtein", join(a, code), join(b, code), bound.cast("int")) >= 0
+    """Whether two word arrays are at most bound words inserted, removed or replaced apart: as strings of one character
+    for each word, its number among the words of both."""
     number = lambda words: lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, x) + 65536), 8, "0")), "UTF-32")
-    return shared & near(lambda x: F.char(F.xxhash64(x).bitwiseAND(F.lit(255)))) & _once(F.array_union(a, b), lambda words: near(number(words)))
+    near = lambda words: F.call_function("levenshtein", *[F.array_join(F.transform(w, number(words)), "") for w in (a, b)], bound.cast("int")) >= 0
+    return _once(F.array_union(a, b), near)
 
 
 def _texts(lines: DataFrame, some: DataFrame) -> DataFrame:
@@ -146,42 +142,32 @@ def _shared_runs(lines: DataFrame, unique: DataFrame, per: int, q: int) -> DataF
     return shared.select("v", "h").distinct()
 
 
-def _parity(line: Column) -> Column:
-    """Two numbers of 64 bits: for each class of word hashes whether the line has an odd number of its words. An edit
-    changes at most two bits of each."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda h, by: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(F.shiftrightunsigned(x, by))))
-    return _once(F.transform(F.split(line, " "), lambda x: F.xxhash64(x)), lambda h: F.struct(part(h, 0).alias("a"), part(h, 6).alias("b")))
-
-
 def _may_be_near(per: int) -> Column:
-    """False only for an earlier line y that lengths or parities show to be further from x than the bound, or that isn't
-    earlier."""
-    bound = F.floor(F.least("x.n", "y.n") / per)
-    bits = [F.bit_count(F.col(f"x.p.{i}").bitwiseXOR(F.col(f"y.p.{i}"))) <= 2 * bound for i in "ab"]
-    return (F.col("y.at") < F.col("x.at")) & (F.abs(F.col("x.n") - F.col("y.n")) <= bound) & bits[0] & bits[1]
+    """False for a line y that isn't earlier than x or whose length shows that it is further away than the bound."""
+    return (F.col("y.at") < F.col("x.at")) & (F.abs(F.col("x.n") - F.col("y.n")) <= F.floor(F.least("x.n", "y.n") / per))
 
 
 def _candidates(lines: DataFrame, unique: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (at, earlier, lead) of lines that share a key, those with the earliest member of a group (lead) and all others
     of groups of at most GROUP members; and the larger groups' members (v, x)."""
-    keys = _shared_runs(lines, unique, per, min(GRAM, per // 2)).join(unique.select("h", "at", "n", "p"), "h")
-    keys = settle(keys.select("v", F.struct("at", "n", "p").alias("x")), "keys")
-    low = settle(keys.groupBy("v").agg(F.min("x").alias("y"), F.count("*").alias("c")), "low")
+    keys = _shared_runs(lines, unique, per, min(GRAM, per // 2)).join(unique.select("h", F.struct("at", "n").alias("x")), "h").select("v", "x")
+    group = Window.partitionBy("v")
+    keys = settle(keys.withColumns({"y": F.min("x").over(group), "c": F.count("*").over(group)}), "keys")
     pair = lambda df, lead: df.where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier"), F.lit(lead).alias("lead"))
-    few = keys.join(low.where(F.col("c").between(3, GROUP)).select("v"), "v", "left_semi")
-    pairs = pair(keys.join(low, "v"), True).unionByName(pair(few.join(few.select("v", F.col("x").alias("y")), "v"), False))
-    many = settle(keys.join(low.where(F.col("c") > GROUP).select("v"), "v", "left_semi"), "many")
-    return settle(pairs.groupBy("at", "earlier").agg(F.max("lead").alias("lead")), "pairs"), many
+    few = keys.where(F.col("c").between(3, GROUP)).groupBy("v").agg(F.collect_list("x").alias("xs"))  # at most GROUP
+    few = few.select("xs", F.explode("xs").alias("x")).select("x", F.explode(F.filter("xs", lambda y: y["at"] < F.col("x.at"))).alias("y"))
+    pairs = pair(keys, True).unionByName(pair(few, False)).groupBy("at", "earlier").agg(F.max("lead").alias("lead"))
+    return settle(pairs, "pairs"), settle(keys.where(F.col("c") > GROUP).select("v", "x"), "many")
 
 
 def _near_long(texts: DataFrame, pairs: DataFrame, many: DataFrame, per: int) -> DataFrame:
     """(at) of those lines that an earlier one is within the bound of; texts are (at, line)."""
-    texts = texts.select("at", F.split("line", " ").alias("w"))
-    near = settle(_verified(texts, pairs.where("lead"), per), "near")
-    near = settle(near.unionByName(_verified(texts, pairs.where("not lead").join(near, "at", "left_anti"), per)), "near")
+    code = F.array_join(F.transform(F.split("line", " "), lambda x: F.char(F.xxhash64(x).bitwiseAND(F.lit(255)))), "")
+    codes = settle(texts.select("at", code.alias("code")), "codes")
+    near = settle(_verified(texts, codes, pairs.where("lead"), per), "near")
+    near = settle(near.unionByName(_verified(texts, codes, pairs.where("not lead").join(near, "at", "left_anti"), per)), "near")
     # members of large groups not yet found: with those earlier members that share a word which few of the group have
-    words = many.join(texts, F.col("x.at") == F.col("at")).select("v", "x", F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).alias("w"))
+    words = many.join(texts.select("at", "line"), F.col("x.at") == F.col("at")).select("v", "x", F.explode(F.array_distinct(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)))).alias("w"))
     words = settle(words, "words")
     count = words.groupBy("v", "w").agg(F.count("*").alias("c"))
     rare = words.join(count, ["v", "w"]).groupBy("v", "x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "w"))), 1, (F.floor(F.first("x.n") / per) + 1).cast("int")).alias("k"))
@@ -189,14 +175,18 @@ def _near_long(texts: DataFrame, pairs: DataFrame, many: DataFrame, per: int) ->
     mine = rare.join(near.select(F.col("at").alias("gone")), F.col("x.at") == F.col("gone"), "left_anti")
     more = mine.join(rare.select("v", "w", F.col("x").alias("y")), ["v", "w"]).where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier")).distinct()
     more = settle(more.join(pairs, ["at", "earlier"], "left_anti"), "more")
-    return near.unionByName(_verified(texts, more, per)).distinct()
+    return near.unionByName(_verified(texts, codes, more, per)).distinct()
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
-    """`at` of those of pairs (at, earlier) whose lines are within the bound."""
-    both = pairs.join(texts.select("at", F.col("w").alias("a")), "at").join(texts.select(F.col("at").alias("earlier"), F.col("w").alias("b")), "earlier")
-    bound = F.floor(F.least(F.size("a"), F.size("b")) / per)
-    return both.where((F.abs(F.size("a") - F.size("b")) <= bound) & _within(F.col("a"), F.col("b"), bound)).select("at").distinct()
+def _verified(texts: DataFrame, codes: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
+    """`at` of those of pairs (at, earlier) whose lines, of texts (at, line), are within the bound. Words are first told
+    apart by the 8 bits of their hashes in codes (at, code), which can only bring lines nearer, then by themselves."""
+    both = lambda pairs, df, c: pairs.join(df.select("at", F.col(c).alias("a")), "at").join(df.select(F.col("at").alias("earlier"), F.col(c).alias("b")), "earlier")
+    bound = lambda size: F.floor(F.least(size("a"), size("b")) / per).cast("int")
+    coded = both(pairs.select("at", "earlier"), codes, "code")
+    coded = settle(coded.where(F.call_function("levenshtein", F.col("a"), F.col("b"), bound(F.length)) >= 0).select("at", "earlier"), "coded")
+    exact = both(coded, texts, "line").select("at", F.split("a", " ").alias("a"), F.split("b", " ").alias("b"))
+    return exact.where(_within(F.col("a"), F.col("b"), bound(F.size))).select("at").distinct()
 
 
 def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = WORDS_PER_EDIT) -> DataFrame:
@@ -216,9 +206,9 @@ def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     # a line that may have two edits is here for its pairs with shorter ones only
     short = (F.col("n") >= min_words) & ((F.col("n") <= max(2 * per, min_words)) if per else F.lit(True)) & F.lit(max_edits > 0)
     long = F.col("n") >= max(2 * per, min_words) if per else F.lit(False)
-    occurs = lines.select(*_ids(), "d", "l", "n", F.when(short, _halves(F.col("line"), F.col("n"))).alias("keys"), F.when(long, _parity(F.col("line"))).alias("p"))
+    occurs = lines.select(*_ids(), "d", "l", "n", F.when(short, _halves(F.col("line"), F.col("n"))).alias("keys"))
     occurs = settle(occurs, "lines")
-    unique = occurs.groupBy("h", "g").agg(F.min(F.struct(place.alias("at"), "n", "keys", "p")).alias("x"), F.count("*").alias("copies"))
+    unique = occurs.groupBy("h", "g").agg(F.min(F.struct(place.alias("at"), "n", "keys")).alias("x"), F.count("*").alias("copies"))
     unique = settle(unique.select("h", "g", "x.*", "copies"), "unique")
     gone = unique.where("copies > 1").select("h", "g", "at", F.lit(False).alias("all"))
     if max_edits:
