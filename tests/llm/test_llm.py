@@ -208,8 +208,26 @@ def test_leaks_equal_brute_force(spark):
     got = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string"))
     found = {(r.doc_id, r.item_id) for r in got.collect()}
     assert found == brute_leaks(docs, ITEMS) and (100, 2) in found and 20 < len(found) < 61
-    few = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string"), settings=decontaminate.Settings(items_at_once=1))
-    assert {(r.doc_id, r.item_id) for r in few.collect()} == found
+
+
+def test_leaks_of_items_that_share_a_template(spark):
+    """Windows that begin before the item's first shingle, and items of which most shingles are shared with others."""
+    name = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    other = lambda k: f"p0 p1 p2 a0 a1 a2 a3 {name(f'o{k}x', 23)}"
+    items = [(1, name("a", 20)), (2, name("a", 20)), *[(3 + k, other(k)) for k in range(5)]]
+    rng = random.Random(8)
+    items += [(20 + k, f"{name('t', 60)} {name(f'own{k}x', rng.randint(1, 9))} {name('u', rng.randint(0, 20))}") for k in range(12)]
+    docs = [(1, f"x y z p0 p1 p2 {name('a', 17)} q r s {name('v', 30)}")]
+    for i in range(2, 60):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 0, 0, 1])):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1])] = [rng.choice(["other", "p0", "a3", "t7"])]
+        docs.append((i, f"{name('b', rng.randint(0, 9))} {' '.join(w)} {name('c', rng.randint(0, 30))}"))
+    docs += [(1, docs[5][1]), (3, docs[5][1]), (None, docs[5][1])]
+    got = decontaminate.leaks(spark.createDataFrame(docs, DOCS).withColumn("u1", F.lit(1)), spark.createDataFrame(items, "item_id long, text string"))
+    found = [(r.doc_id, r.item_id) for r in got.collect()]
+    assert set(found) == brute_leaks([d for d in docs if d[0]], items) and len(found) == len(set(found)) and {(1, 1), (1, 2)} <= set(found) and len(found) > 30
 
 
 def test_decontaminate_odd_rows(spark):
@@ -217,6 +235,7 @@ def test_decontaminate_odd_rows(spark):
     kept = decontaminate.decontaminate(spark.createDataFrame([*ODD, (7, ITEMS[0][1])], DOCS).withColumn("similarity", F.lit(1)), items)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5]
     assert decontaminate.leaks(spark.createDataFrame(ODD, DOCS), items.limit(0)).count() == 0
+    assert decontaminate.leaks(spark.createDataFrame([], DOCS), items).count() == 0
 
 
 def fuzz(n, seed):
