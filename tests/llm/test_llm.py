@@ -93,11 +93,12 @@ def test_lines_equal_sql(spark):
 
     rows = [(i, "\n".join(edited(rng.choice(stock)) for _ in range(rng.randint(1, 8)))) for i in range(60)] + [(60, None), (61, ""), (62, LONG[:900]), (63, "a\n\n\na")]
     rows += [(100 + i, "\n".join(edited(edited(" ".join(rng.choice(long)))) for _ in range(3))) for i in range(20)]
-    got = lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    assert {tuple(r) for r in got} == set(c.execute(lines.ORACLE).fetchall())
+    for sql, per in ((lines.ORACLE, None), (lines.ORACLE_LONG, lines.WORDS_PER_EDIT)):
+        got = lines.dedup_lines(spark.createDataFrame(rows, DOCS), words_per_edit=per).collect()
+        assert {tuple(r) for r in got} == set(c.execute(sql).fetchall())
 
 
 def test_lines_of_odd_rows(spark):

@@ -18,7 +18,7 @@ very many lines have last, so that a frequent passage is hardly ever a key. Keys
 and line, and those of a single line end there. Lines of a group of up to GROUP are compared with its earliest and, if
 that isn't enough, with each other; what is left of larger ones is keyed again, by the k + 1 words of the line that fewest members
 of the group have (an edit touches one word), so that a large group is never expanded into its pairs. Pairs
-whose lengths are too different are left out, the others verified by the true distance in words.
+whose lengths or word parities are too different are left out, the others verified by the true distance in words.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ GRAM = 3
 #: So many runs at most are put last; they are counted in the lines of one of SAMPLE documents, which decides their order alone.
 FREQUENT, SAMPLE = 4096, 64
 #: Members of a group that are compared with each other directly.
-GROUP = 1024
+GROUP = 256
 #: Bits for each line whose text is looked up, in the set by which texts are told apart before they are shuffled, and bits at most.
 BITS_PER_LINE, MOST_BITS = 16, 28
 
@@ -142,20 +142,30 @@ def _shared_runs(lines: DataFrame, unique: DataFrame, per: int, q: int) -> DataF
     return shared.select("v", "h").distinct()
 
 
+def _parity(line: Column) -> Column:
+    """Two numbers of 64 bits: for each class of word hashes whether the line has an odd number of its words. An edit
+    changes at most two bits of each."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda h, by: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(F.shiftrightunsigned(x, by))))
+    return _once(F.transform(F.split(line, " "), lambda x: F.xxhash64(x)), lambda h: F.struct(part(h, 0).alias("a"), part(h, 6).alias("b")))
+
+
 def _may_be_near(per: int) -> Column:
-    """False for a line y that isn't earlier than x or whose length shows that it is further away than the bound."""
-    return (F.col("y.at") < F.col("x.at")) & (F.abs(F.col("x.n") - F.col("y.n")) <= F.floor(F.least("x.n", "y.n") / per))
+    """False only for a line y that isn't earlier than x or that lengths or parities show to be further away than the bound."""
+    bound = F.floor(F.least("x.n", "y.n") / per)
+    bits = [F.bit_count(F.col(f"x.p.{i}").bitwiseXOR(F.col(f"y.p.{i}"))) <= 2 * bound for i in "ab"]
+    return (F.col("y.at") < F.col("x.at")) & (F.abs(F.col("x.n") - F.col("y.n")) <= bound) & bits[0] & bits[1]
 
 
 def _candidates(lines: DataFrame, unique: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (at, earlier, lead) of lines that share a key, those with the earliest member of a group (lead) and all others
     of groups of at most GROUP members; and the larger groups' members (v, x)."""
-    keys = _shared_runs(lines, unique, per, min(GRAM, per // 2)).join(unique.select("h", F.struct("at", "n").alias("x")), "h").select("v", "x")
+    keys = _shared_runs(lines, unique, per, min(GRAM, per // 2)).join(unique.select("h", F.struct("at", "n", "p").alias("x")), "h").select("v", "x")
     group = Window.partitionBy("v")
     keys = settle(keys.withColumns({"y": F.min("x").over(group), "c": F.count("*").over(group)}), "keys")
     pair = lambda df, lead: df.where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier"), F.lit(lead).alias("lead"))
     few = keys.where(F.col("c").between(3, GROUP)).groupBy("v").agg(F.collect_list("x").alias("xs"))  # at most GROUP
-    few = few.select("xs", F.explode("xs").alias("x")).select("x", F.explode(F.filter("xs", lambda y: y["at"] < F.col("x.at"))).alias("y"))
+    few = few.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y"))
     pairs = pair(keys, True).unionByName(pair(few, False)).groupBy("at", "earlier").agg(F.max("lead").alias("lead"))
     return settle(pairs, "pairs"), settle(keys.where(F.col("c") > GROUP).select("v", "x"), "many")
 
@@ -206,9 +216,9 @@ def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     # a line that may have two edits is here for its pairs with shorter ones only
     short = (F.col("n") >= min_words) & ((F.col("n") <= max(2 * per, min_words)) if per else F.lit(True)) & F.lit(max_edits > 0)
     long = F.col("n") >= max(2 * per, min_words) if per else F.lit(False)
-    occurs = lines.select(*_ids(), "d", "l", "n", F.when(short, _halves(F.col("line"), F.col("n"))).alias("keys"))
+    occurs = lines.select(*_ids(), "d", "l", "n", F.when(short, _halves(F.col("line"), F.col("n"))).alias("keys"), F.when(long, _parity(F.col("line"))).alias("p"))
     occurs = settle(occurs, "lines")
-    unique = occurs.groupBy("h", "g").agg(F.min(F.struct(place.alias("at"), "n", "keys")).alias("x"), F.count("*").alias("copies"))
+    unique = occurs.groupBy("h", "g").agg(F.min(F.struct(place.alias("at"), "n", "keys", "p")).alias("x"), F.count("*").alias("copies"))
     unique = settle(unique.select("h", "g", "x.*", "copies"), "unique")
     gone = unique.where("copies > 1").select("h", "g", "at", F.lit(False).alias("all"))
     if max_edits:
@@ -272,23 +282,39 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     )
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that an earlier like line makes superfluous."""
+def op9_line_dedup(spark: SparkSession, sf_dir: str, words_per_edit: int | None = None) -> DataFrame:
+    """All documents without the lines that an earlier line makes superfluous which is equal or one edit away."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("text"), F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
+    out = dedup_lines(docs, words_per_edit=words_per_edit)
+    return out.select("doc_id", F.col("text"), F.col("n_lines").cast("long"), F.col("n_removed").cast("long"))
+
+
+def op9_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_line_dedup, with one edit for each WORDS_PER_EDIT words of longer lines, as in the pipeline."""
+    return op9_line_dedup(spark, sf_dir, WORDS_PER_EDIT)
 
 
-#: The same in SQL. Lines of up to 20 words meet by their variants, longer ones by the number of runs of three words that
-#: both have; the distance in words fills a band of the table of distances row by row.
-ORACLE = f"""
-WITH RECURSIVE lines AS (
+#: The same in SQL. Lines with one edit meet by their variants.
+_LINES = f"""lines AS (
   SELECT doc_id, doc_id * 1000000 + i AS o, parts[i] AS line, regexp_matches(parts[i], '[^\\x09-\\x0D\\x20]') AS counts
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), LATERAL unnest(range(1, len(parts) + 1)) AS u(i)),
 firsts AS MATERIALIZED (SELECT min(o) AS o, line, string_split(line, ' ') AS w, len(w) AS n FROM lines WHERE counts GROUP BY line),
-variants AS (SELECT o, p, md5(array_to_string(list_filter(w, lambda x, j: j <> p), ' ')) AS v FROM firsts, LATERAL unnest(range(1, n + 1)) AS u(p) WHERE n BETWEEN {MIN_WORDS} AND {2 * WORDS_PER_EDIT}),
+variants AS (SELECT o, p, md5(array_to_string(list_filter(w, lambda x, j: j <> p), ' ')) AS v FROM firsts, LATERAL unnest(range(1, n + 1)) AS u(p) WHERE n BETWEEN {MIN_WORDS} AND {{most}}),
 near_short AS (
   SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY v, p) AS first FROM variants) WHERE first < o
-  UNION SELECT greatest(a.o, b.o) FROM variants a JOIN firsts b ON a.v = md5(b.line) AND b.n >= {MIN_WORDS}),
+  UNION SELECT greatest(a.o, b.o) FROM variants a JOIN firsts b ON a.v = md5(b.line) AND b.n >= {MIN_WORDS})"""
+_REST = """gone AS (SELECT x.o FROM lines x JOIN firsts f USING (line) WHERE counts AND (x.o > f.o OR f.o IN (SELECT o FROM near))),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY lines.o) FILTER (WHERE gone.o IS NULL), '') AS text, count(*) AS n_lines, count(gone.o) AS n_removed
+  FROM lines LEFT JOIN gone ON lines.o = gone.o GROUP BY doc_id)
+SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLE = f"WITH {_LINES.format(most=1_000_000)}, near AS (SELECT o FROM near_short), {_REST}"
+
+#: Lines with more edits meet by the number of runs of three words that both have; the distance in words fills a band of
+#: the table of distances row by row.
+ORACLE_LONG = f"""WITH RECURSIVE {_LINES.format(most=2 * WORDS_PER_EDIT)},
 runs AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY o) AS c FROM (SELECT DISTINCT o, n, md5(array_to_string(w[p:p + 2], ' ')) AS r FROM firsts, LATERAL unnest(range(1, n - 1)) AS u(p) WHERE n >= {2 * WORDS_PER_EDIT})),
 pairs AS MATERIALIZED (
   SELECT x.o AS a, y.o AS b, least(x.n, y.n) // {WORDS_PER_EDIT} AS k, f.w AS aw, g.w AS bw
@@ -305,9 +331,4 @@ steps AS (
           ELSE least(coalesce(band[p + 1], 1000000) + 1, band[p] + CAST(aw[s.i + 1] <> bw[s.i + p - k] AS BIGINT)) END) AS t
         FROM steps s JOIN pairs USING (a, b) WHERE s.i < len(aw) AND list_min(band) <= k)),
 near AS (SELECT o FROM near_short UNION SELECT b FROM steps JOIN pairs USING (a, b) WHERE i = len(aw) AND band[len(bw) - len(aw) + k + 1] <= k),
-gone AS (SELECT x.o FROM lines x JOIN firsts f USING (line) WHERE counts AND (x.o > f.o OR f.o IN (SELECT o FROM near))),
-kept AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY lines.o) FILTER (WHERE gone.o IS NULL), '') AS text, count(*) AS n_lines, count(gone.o) AS n_removed
-  FROM lines LEFT JOIN gone ON lines.o = gone.o GROUP BY doc_id)
-SELECT d.doc_id, k.text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed FROM documents d LEFT JOIN kept k USING (doc_id)
-"""
+{_REST}"""

@@ -12,8 +12,9 @@ QUERIES = {
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": lines.op9_line_dedup,
+    "op9_line_dedup_long": lines.op9_line_dedup_long,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 #: The others need hashes, tokenizers, archives or models that SQL doesn't have; tests/llm holds them against brute force.
-ORACLES = {"op9_line_dedup": lines.ORACLE}
+ORACLES = {"op9_line_dedup": lines.ORACLE, "op9_line_dedup_long": lines.ORACLE_LONG}
