@@ -10,7 +10,7 @@ from tidemark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-CHECKED = ["clean_txn", "snapshot_fill", "latest_snapshot", "label_encode", "freq_encode", "calendar", "monthly", "history", "rolling", "lags", "streaks_dense", "gini", "velocity", "decay_events", "amounts", "large_frac", "recency_events", "tfidf", "folds", "oof_eval", "residual_hist", "pred_histogram", "submission"]
+CHECKED = sorted(catalog.ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 

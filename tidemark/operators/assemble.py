@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import TxnConfig
 from tidemark.operators import categories, matrix, monthly, rowlevel, temporal
+from tidemark.sources.shared import settle, settle_by
 
 
 def latest_snapshot(snap: DataFrame, cfg: TxnConfig, date: str, columns: Sequence[str], tie: str | None = None) -> DataFrame:
@@ -41,20 +42,25 @@ def in_cohort(cfg: TxnConfig, percent: int = 30):
 
 
 def feature_groups(txn: DataFrame, cfg: TxnConfig) -> tuple[DataFrame, list[DataFrame]]:
-    """Customer aggregates and the other groups of a cleaned, enriched transaction table, all keyed by customer."""
-    base = monthly.customer_aggregates(monthly.monthly_table(txn, cfg), cfg)
+    """Customer aggregates and the other groups of a cleaned, enriched transaction table, all keyed by customer. The
+    monthly table, of which four groups are made, is settled."""
+    base = monthly.customer_aggregates(settle_by(monthly.monthly_table(txn, cfg), cfg.customer, "monthly"), cfg)
     groups = [f(txn, cfg) for f in (rowlevel.velocity, rowlevel.decay, rowlevel.debit_credit, rowlevel.recency, rowlevel.amounts, categories.category_features)]
     return base, groups + ([rowlevel.balance(txn, cfg)] if cfg.balance else [])
 
 
 def assemble(txn: DataFrame, snapshots: DataFrame | None, demographics: DataFrame | None, labels: DataFrame, test_ids: DataFrame, cfg: TxnConfig, as_of_filter: bool = False, fitted: bool = True) -> DataFrame:
-    """The feature matrix of all labelled and test customers. With as_of_filter later rows than the cutoff don't count."""
+    """The feature matrix of all labelled and test customers. With as_of_filter later rows than the cutoff don't count.
+
+    The cleaned transactions are dealt out by customer and settled once; every group, and every join of groups, keeps
+    that partitioning, so the raw rows are read and shuffled once. snapshots has one row a customer (O1). With fitted
+    the columns of anomaly and segments follow, which are fitted on all customers with transactions."""
     if as_of_filter:
         txn = txn.where(F.col(cfg.timestamp) <= F.lit(cfg.cutoff).cast("timestamp_ntz"))
-    # dealt out by customer once: the monthly table, the row-level groups and their joins keep this partitioning
-    txn = temporal.add_temporal(txn, cfg).repartition(cfg.customer)
+    txn = settle_by(temporal.add_temporal(txn, cfg), cfg.customer, "transactions")
     base, groups = feature_groups(txn, cfg)
     features = join_groups(base, [g for g in (*groups, snapshots, demographics) if g is not None], cfg)
     if fitted:
-        features = matrix.segments(matrix.anomaly(features, cfg), cfg)
+        features = settle(features, "features")
+        features = matrix.segments(settle(matrix.anomaly(features, cfg), "anomaly"), cfg)
     return attach(label_union(labels, test_ids, cfg), features, cfg)

@@ -34,8 +34,8 @@ def clean_transactions(txn: DataFrame, cfg: TxnConfig) -> DataFrame:
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Without the columns that are null in every row: one aggregate over all rows."""
-    counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
-    return df.drop(*[c for c in df.columns if counts[c] == 0])
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if counts[f"n{i}"]])
 
 
 def fill_snapshots(snap: DataFrame, cfg: TxnConfig, date: str, columns: Sequence[str], tie: str | None = None) -> DataFrame:

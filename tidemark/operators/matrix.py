@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.config import TxnConfig
 from tidemark.functions import percentile
+from tidemark.sources.shared import settle
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -64,8 +65,8 @@ def _depths(tree: tuple, x: np.ndarray) -> np.ndarray:
 def isolation_forest(df: DataFrame, cfg: TxnConfig, columns: Sequence[str] | None = None, sample: int = 256) -> DataFrame:
     """M2: anomaly_iso_raw (over 0 for outliers) and anomaly_iso_flag (-1 outlier, 1 not).
 
-    Each tree sees at most `sample` rows, those of least hash for it, so what the driver gets is bounded by
-    trees x sample rows. Every row is scored on the executors; the share cfg.contamination of largest scores is outlying.
+    Each tree sees at most `sample` rows, drawn from one pool of the trees x sample rows of least hash, which is all that
+    the driver gets. Every row is scored on the executors; the share cfg.contamination of largest scores is outlying.
     """
     columns = list(columns) if columns is not None else numeric_columns(df, [cfg.customer])
     x = F.array(*[filled(c) for c in columns])
@@ -105,9 +106,10 @@ def pca(df: DataFrame, columns: Sequence[str], components: int = 10) -> DataFram
     return out.withColumns({f"pca_comp_{i + 1}": F.col("_p")[i] * float(sign[i]) for i in range(k)}).drop("_v", "_p")
 
 
-def kmeans(df: DataFrame, cfg: TxnConfig, columns: Sequence[str], restarts: int = 10) -> DataFrame:
-    """customer_segment, numbered by the norm of its centre, and customer_segment_dist to it; the best of restarts."""
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="keep").transform(df).persist()
+def kmeans(df: DataFrame, cfg: TxnConfig, columns: Sequence[str], restarts: int = 3) -> DataFrame:
+    """customer_segment, numbered by the norm of its centre, and customer_segment_dist to it; the best of restarts,
+    each begun by k-means||, on rows that are settled once."""
+    rows = settle(VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="keep").transform(df), "points")
     models = [KMeans(k=cfg.clusters, seed=cfg.seed + i, featuresCol="_v", predictionCol="_k").fit(rows) for i in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     centres = np.array(best.clusterCenters())
@@ -128,7 +130,7 @@ def segment_dummies(df: DataFrame, cfg: TxnConfig) -> DataFrame:
 def segments(df: DataFrame, cfg: TxnConfig) -> DataFrame:
     """N1-N4 on all numeric features."""
     columns = numeric_columns(df, [cfg.customer])
-    scaled = robust_scale(df.select(cfg.customer, *columns), columns).select(cfg.customer, *columns)
+    scaled = settle(robust_scale(df.select(cfg.customer, *columns), columns).select(cfg.customer, *columns), "scaled")
     made = pca(scaled, columns, cfg.components)
     names = [c for c in made.columns if c.startswith("pca_comp_")]
     made = kmeans(made.select(cfg.customer, *names), cfg, names)

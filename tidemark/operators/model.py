@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TxnConfig
 from tidemark.operators.matrix import filled
+from tidemark.sources.shared import settle
 
 
 def _above(x, cuts: Sequence) -> Column:
@@ -75,35 +78,83 @@ def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass
 class FoldModels:
+    """Models of the folds 1.., how one predicts, and the predictions for the rows that each was validated on."""
+
     models: list = field(default_factory=list)
+    predict: Callable[[object, DataFrame], Column | DataFrame] | None = None
     out_of_fold: DataFrame | None = None
 
 
-def _fold_loop(rows: DataFrame, folds: int, train, predict) -> FoldModels:
-    out = FoldModels()
+def _fold_loop(rows: DataFrame, folds: int, train, predict, out: str, keep: Sequence[str]) -> FoldModels:
+    """train(earlier rows, the fold's rows) gives a model; predict(model, rows, name) adds its prediction."""
+    made = FoldModels(predict=predict)
     for k in range(1, folds + 1):
-        m = train(rows.where(F.col("fold") < k))
-        out.models.append(m)
-        part = predict(m, rows.where(F.col("fold") == k))
-        out.out_of_fold = part if out.out_of_fold is None else out.out_of_fold.unionByName(part)
-    return out
+        valid = rows.where(F.col("fold") == k)
+        made.models.append(train(rows.where(F.col("fold") < k), valid))
+        part = predict(made.models[-1], valid, out).select(*keep, out)
+        made.out_of_fold = part if made.out_of_fold is None else made.out_of_fold.unionByName(part)
+    return made
 
 
 def train_activity(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig) -> FoldModels:
     """Q3: probability of a positive count; positives weigh as much together as negatives. out_of_fold has p_active, auc by fold."""
-    rows = _vectors(matrix, columns).persist()
+    rows = settle(_vectors(matrix, columns), "vectors")
 
-    def train(part: DataFrame):
+    def train(part: DataFrame, valid: DataFrame):
         n = part.agg(F.avg("active").alias("p")).first()["p"] or 0.0
         weight = (1 - n) / n if 0 < n < 1 else 1.0
         part = part.withColumn("w", F.when(F.col("active") == 1, weight).otherwise(1.0)).withColumnRenamed("active", "label")
         return LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", regParam=1e-3, maxIter=50).fit(part)
 
-    def predict(m, part: DataFrame) -> DataFrame:
-        scored = m.transform(part)
-        return scored.select(cfg.customer, "fold", "y", "active", vector_to_array("probability")[1].alias("p_active"))
+    def predict(m, part: DataFrame, out: str) -> DataFrame:
+        return m.transform(part).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+
+    return _fold_loop(rows, cfg.folds, train, predict, "p_active", [cfg.customer, "fold", "y", "active"])
 
-    return _fold_loop(rows, cfg.folds, train, predict)
+
+@dataclass
+class PoissonTrees:
+    """Boosted regression trees with Poisson loss: the logarithm of the expected count is base + rate * the trees' sum."""
+
+    base: float
+    rate: float
+    trees: list = field(default_factory=list)
+
+    def add_log(self, rows: DataFrame, out: str) -> DataFrame:
+        rows = rows.withColumn(out, F.lit(self.base))
+        for t in self.trees:
+            rows = t.transform(rows).withColumn(out, F.col(out) + self.rate * F.least(F.greatest(F.col("_tree"), F.lit(-4.0)), F.lit(4.0))).drop("_tree")
+        return rows
+
+    @property
+    def importances(self):
+        return sum(t.featureImportances.toArray() for t in self.trees) if self.trees else None
+
+
+def _loss(rows: DataFrame, log: str) -> float:
+    return rows.agg(F.avg(F.exp(log) - F.col("y") * F.col(log))).first()[0]
+
+
+def fit_poisson_trees(train: DataFrame, valid: DataFrame, seed: int, rounds: int = 12, depth: int = 4, rate: float = 0.3, patience: int = 3) -> PoissonTrees:
+    """Newton boosting: each tree is fitted to (y - mu) / mu with weight mu. It stops when the loss on valid hasn't fallen
+    for `patience` rounds, and keeps the trees up to the best round."""
+    mean = train.agg(F.avg("y")).first()[0]
+    model = PoissonTrees(math.log(max(mean or 0.0, 1e-6)), rate)
+    if not mean:
+        return model
+    learner = DecisionTreeRegressor(featuresCol="features", labelCol="_z", weightCol="_w", predictionCol="_tree", maxDepth=depth, seed=seed)
+    best, least = 0, _loss(model.add_log(valid, "_f"), "_f")
+    for k in range(1, rounds + 1):
+        mu = F.exp("_f")
+        rows = model.add_log(train, "_f").withColumns({"_z": (F.col("y") - mu) / mu, "_w": mu})
+        model.trees.append(learner.fit(rows))
+        loss = _loss(model.add_log(valid, "_f"), "_f")
+        if loss is None or least is None or loss < least:
+            best, least = k, loss
+        elif k - best >= patience:
+            break
+    model.trees = model.trees[:best]
+    return model
 
 
 def auc(scored: DataFrame) -> float:
@@ -111,20 +162,26 @@ def auc(scored: DataFrame) -> float:
 
 
 def train_counts(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, kind: str, params: dict | None = None) -> FoldModels:
-    """Q4: expected counts, floored at 0. kind `glm`: Poisson regression with logarithmic link on scaled columns; kind
-    `gbt`: boosted trees on log1p of the count."""
-    rows = _vectors(matrix, columns)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled").fit(rows) if kind == "glm" else None
-    rows = (scaler.transform(rows) if scaler else rows).withColumn("log_y", F.log1p("y")).persist()
+    """Q4: expected counts, floored at 0, with Poisson loss. Kind `trees`: boosted trees that stop early by the fold they are
+    validated on; kind `glm`: regression with logarithmic link on scaled columns. Kind `gbt`: Spark's boosted trees on
+    log1p of the count, which also stop early."""
+    rows = settle(_vectors(matrix, columns).withColumn("log_y", F.log1p("y")), "vectors")
+    floored = lambda x, out, p: x.withColumn(out, F.greatest(p, F.lit(0.0))).drop("prediction")
     if kind == "glm":
+        scaler = StandardScaler(inputCol="features", outputCol="scaled").fit(rows)
         learner = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="scaled", labelCol="y", **{"regParam": 0.1, "maxIter": 25} | (params or {}))
-        back = F.col("prediction")
+        train = lambda part, valid: learner.fit(scaler.transform(part))
+        predict = lambda m, part, out: floored(m.transform(scaler.transform(part)), out, F.col("prediction")).drop("scaled")
+    elif kind == "trees":
+        train = lambda part, valid: fit_poisson_trees(part, valid, cfg.seed, **(params or {}))
+        predict = lambda m, part, out: m.add_log(part, out).withColumn(out, F.exp(out))
     elif kind == "gbt":
-        learner = GBTRegressor(featuresCol="features", labelCol="log_y", seed=cfg.seed, **{"maxIter": 20, "maxDepth": 4} | (params or {}))
-        back = F.expm1("prediction")
+        learner = GBTRegressor(featuresCol="features", labelCol="log_y", seed=cfg.seed, validationIndicatorCol="_valid", **{"maxIter": 10, "maxDepth": 4} | (params or {}))
+        train = lambda part, valid: learner.fit(part.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True))))
+        predict = lambda m, part, out: floored(m.transform(part), out, F.expm1("prediction"))
     else:
         raise ValueError(f"no model of kind {kind!r}")
-    return _fold_loop(rows, cfg.folds, learner.fit, lambda m, part: m.transform(part).select(cfg.customer, "fold", "y", F.greatest(back, F.lit(0.0)).alias("p")))
+    return _fold_loop(rows, cfg.folds, train, predict, "p", [cfg.customer, "fold", "y"])
 
 
 def tune(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, kind: str, grid: Iterable[dict]) -> tuple[dict, list[tuple[dict, float]]]:
@@ -146,13 +203,31 @@ def blend(df: DataFrame, models: dict[str, Sequence[str]], cfg: TxnConfig, activ
     return df.withColumn("prediction", total * mean(active) if active else total)
 
 
+def predict_ensemble(models: dict[str, FoldModels], matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, activity: FoldModels | None = None) -> DataFrame:
+    """Q6: for rows that no model saw (the test split): `{kind}_{fold}`, each fold model's prediction, `active_{fold}`, and
+    their `prediction`, as blend makes it."""
+    rows, names = _vectors(matrix, columns), {}
+    for kind, fitted in [*models.items(), *([("active", activity)] if activity else [])]:
+        names[kind] = [f"{kind}_{k}" for k in range(1, len(fitted.models) + 1)]
+        for name, m in zip(names[kind], fitted.models, strict=True):
+            rows = fitted.predict(m, rows, name)
+    out = blend(rows, {k: n for k, n in names.items() if k != "active"}, cfg, active=names.get("active", ()))
+    return out.select(cfg.customer, *[c for n in names.values() for c in n], "prediction")
+
+
 def importances(models: dict[str, Sequence], columns: Sequence[str], spark) -> DataFrame:
     """Mean over a kind's fold models of their importances (of a regression: absolute coefficients, as shares)."""
     shares = {}
     for kind, fitted in models.items():
-        rows = [m.featureImportances.toArray() if hasattr(m, "featureImportances") else abs(m.coefficients.toArray()) for m in fitted]
+        rows = [_importance(m, len(columns)) for m in fitted]
         rows = [r / (r.sum() or 1.0) for r in rows]
         shares[kind] = sum(rows) / len(rows)
     kinds = list(shares)
     data = [(c, *[float(shares[k][i]) for k in kinds]) for i, c in enumerate(columns)]
     return spark.createDataFrame(data, "feature string, " + ", ".join(f"{k}_imp double" for k in kinds))
+
+
+def _importance(m, n: int):
+    if isinstance(m, PoissonTrees):
+        return m.importances if m.trees else np.zeros(n)
+    return m.featureImportances.toArray() if hasattr(m, "featureImportances") else abs(m.coefficients.toArray())

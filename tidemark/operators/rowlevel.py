@@ -93,10 +93,10 @@ def skew(x: Column) -> Column:
 def amounts(txn: DataFrame, cfg: TxnConfig, exact: bool = True) -> DataFrame:
     """L1-L3: distribution of amounts, and the share of rows above the customer's own 90th percentile."""
     a, c = F.col("amount_abs"), cfg.customer
-    rows = txn.select(c, a)
+    rows = txn.select(c, a, percentile(a, 0.9, exact).over(Window.partitionBy(c)).alias("_q90"))
     stats = rows.groupBy(c).agg(
         F.coalesce(F.sum(a), F.lit(0.0)).alias("amt_total"), F.avg(a).alias("amt_mean"), percentile(a, 0.5, exact).alias("amt_median"), F.stddev_samp(a).alias("amt_std"), F.max(a).alias("amt_max"),
-        F.min(a).alias("amt_min"), percentile(a, 0.25, exact).alias("amt_q25"), percentile(a, 0.75, exact).alias("amt_q75"), percentile(a, 0.9, exact).alias("amt_q90"), skew(a).alias("amt_skew"), F.count(a).alias("amt_count"),
+        F.min(a).alias("amt_min"), percentile(a, 0.25, exact).alias("amt_q25"), percentile(a, 0.75, exact).alias("amt_q75"), F.first("_q90").alias("amt_q90"), skew(a).alias("amt_skew"), F.count(a).alias("amt_count"),
+        F.avg(F.when(a > F.col("_q90"), 1.0).otherwise(0.0)).alias("amt_large_frac"),
     )
-    large = rows.join(stats.select(c, "amt_q90"), c).groupBy(c).agg(F.avg(F.when(a > F.col("amt_q90"), 1.0).otherwise(0.0)).alias("amt_large_frac"))
-    return stats.withColumns({"amt_iqr": F.col("amt_q75") - F.col("amt_q25"), "amt_cv": ratio("amt_std", "amt_mean")}).join(large, c)
+    return stats.withColumns({"amt_iqr": F.col("amt_q75") - F.col("amt_q25"), "amt_cv": ratio("amt_std", "amt_mean")})

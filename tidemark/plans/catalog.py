@@ -13,6 +13,7 @@ from tidemark.plans import adapters as data
 from tidemark.plans.adapters import CFG, EVENTS
 from tidemark.plans.oracles import ORACLES as _SQL
 from tidemark.sources import io
+from tidemark.sources.shared import new_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,13 +53,26 @@ FEATURES = ["hist_months_active", "hist_total_txn", "hist_total_amount", "hist_s
 
 def _train(s: SparkSession, d: str) -> DataFrame:
     rows = assemble.attach(assemble.label_union(data.labels(s, d), data.test_ids(s, d), CFG), _past(s, d).select(ID, *FEATURES), CFG)
-    return rows.where("split = 'train'").fillna(0, FEATURES).persist()  # one row a customer, used by several jobs
+    return settle(rows.where("split = 'train'").fillna(0, FEATURES), "train")  # one row a customer, used by several jobs
 
 
 def _folded(s: SparkSession, d: str) -> DataFrame:
     return model.assign_folds(_train(s, d), CFG)
 
 
+def _test(s: SparkSession, d: str) -> DataFrame:
+    return assemble.attach(data.test_ids(s, d), _past(s, d).select(ID, *FEATURES), CFG).withColumn(CFG.target, F.lit(None).cast("long"))
+
+
+def _assembled(s: SparkSession, d: str, fitted: bool) -> DataFrame:
+    """The full matrix, with snapshots and demographics."""
+    demo = clean.clean_demographics(data.demographics(s, d), CFG)
+    snap = clean.clean_snapshots(data.snapshots(s, d), CFG, "snapshot_date", tie="event_id")
+    snap = assemble.latest_snapshot(snap, CFG, "snapshot_date", ["bal", "k"], tie="event_id")
+    txn = clean.clean_transactions(data.txn_raw(s, d), CFG)
+    return assemble.assemble(txn, snap, demo, data.labels(s, d), data.test_ids(s, d), CFG, as_of_filter=True, fitted=fitted)
+
+
 def _oof(s: SparkSession, d: str) -> DataFrame:
     ts = F.col("txn_ts")
     recent = data.txn_raw(s, d).where((ts < F.lit(CFG.cutoff).cast("timestamp_ntz")) & (ts >= F.expr("timestamp_ntz'2000-08-01'"))).groupBy(ID).agg(F.count("*").alias("p"))
@@ -291,14 +305,18 @@ def _(s, d):
     return _segments(s, d).select(ID, "customer_segment", "customer_segment_dist")
 
 
+def _given_segments(s: SparkSession, d: str) -> DataFrame:
+    return data.table(s, d, "customer").select(F.col("c_custkey").alias(ID), F.pmod("c_nationkey", F.lit(CFG.clusters)).cast("int").alias("customer_segment"))
+
+
 @query("segment_dummies")
 def _(s, d):
-    return matrix.segment_dummies(_segments(s, d), CFG).select(ID, "customer_segment", *[f"seg_{i}" for i in range(CFG.clusters)])
+    return matrix.segment_dummies(_given_segments(s, d), CFG).select(ID, "customer_segment", *[F.col(f"seg_{i}").cast("int").alias(f"seg_{i}") for i in range(CFG.clusters)])
 
 
 @query("segment_counts")
 def _(s, d):
-    return evaluate.segment_counts(_segments(s, d))
+    return evaluate.segment_counts(_given_segments(s, d))
 
 
 @query("latest_snapshot")
@@ -308,9 +326,14 @@ def _(s, d):
 
 @query("assemble")
 def _(s, d):
-    demo = clean.clean_demographics(data.demographics(s, d), CFG)
-    txn = clean.clean_transactions(data.txn_raw(s, d), CFG)
-    return assemble.assemble(txn, None, demo, data.labels(s, d), data.test_ids(s, d), CFG, as_of_filter=True, fitted=False)
+    return _assembled(s, d, fitted=True)
+
+
+@query("assemble_groups")
+def _(s, d):
+    """The matrix without what is fitted."""
+    rows = _assembled(s, d, fitted=False)
+    return rows.drop(*[c for c in rows.columns if "_emb_comp_" in c or c.startswith(("cat_frac_", "ch_frac_"))])
 
 
 @query("label_union")
@@ -336,7 +359,14 @@ def _(s, d):
 
 @query("select_features")
 def _(s, d):
-    return select.select_features(_train(s, d), CFG, max_features=3)[0]
+    """On all numeric columns of the matrix."""
+    return select.select_features(settle(_assembled(s, d, fitted=False), "matrix"), CFG)[0]
+
+
+@query("selected")
+def _(s, d):
+    _, names = select.select_features(_train(s, d).select(ID, "split", CFG.target, *FEATURES), CFG, max_features=3)
+    return s.createDataFrame([(c,) for c in names], "feature string")  # at most max_features names
 
 
 @query("folds")
@@ -355,19 +385,54 @@ def _(s, d):
     return fitted.out_of_fold.select(ID, "fold", "active", "p_active")
 
 
+def _counted(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, model.FoldModels]]:
+    rows = settle(model.model_matrix(_folded(s, d), FEATURES, CFG), "matrix")
+    return rows, {"xgb": model.train_counts(rows, FEATURES, CFG, "trees"), "lgb": model.train_counts(rows, FEATURES, CFG, "glm")}
+
+
 @query("count_models")
 def _(s, d):
-    rows = model.model_matrix(_folded(s, d), FEATURES, CFG)
-    return evaluate.cv_table(*[model.train_counts(rows, FEATURES, CFG, kind).out_of_fold for kind in ("gbt", "glm")])
+    return evaluate.cv_table(*[m.out_of_fold for m in _counted(s, d)[1].values()])
+
+
+@query("boosted_log_counts")
+def _(s, d):
+    rows = settle(model.model_matrix(_folded(s, d), FEATURES, CFG), "matrix")
+    return evaluate.errors(model.train_counts(rows, FEATURES, CFG, "gbt").out_of_fold, "y", "p", by="fold")
 
 
 @query("tuning")
 def _(s, d):
-    rows = model.model_matrix(_folded(s, d), FEATURES, CFG)
+    rows = settle(model.model_matrix(_folded(s, d), FEATURES, CFG), "matrix")
     _, tried = model.tune(rows, FEATURES, CFG, "glm", [{"regParam": x} for x in (0.01, 1.0)])
     return s.createDataFrame([(p["regParam"], e) for p, e in tried], "reg_param double, rmsle double")
 
 
+@query("predict_test")
+def _(s, d):
+    """A prediction for every test customer by the fold models of both kinds and of activity."""
+    rows, models = _counted(s, d)
+    activity = model.train_activity(rows, FEATURES, CFG)
+    return model.predict_ensemble(models, model.model_matrix(_test(s, d), FEATURES, CFG), FEATURES, CFG, activity)
+
+
+@query("whole_job")
+def _(s, d):
+    """From transactions to a submission: assemble, select, folds, models, ensemble."""
+    features, names = select.select_features(settle(_assembled(s, d, fitted=True), "matrix"), CFG)
+    features = settle(features, "selected")
+    by = "hist_months_active"
+    train = features.where("split = 'train'").withColumn(by, F.coalesce(by, F.lit(0))) if by in names else features.where("split = 'train'").withColumn(by, F.lit(0))
+    rows = settle(model.model_matrix(model.assign_folds(train, CFG), names, CFG), "folds")
+    models = {"xgb": model.train_counts(rows, names, CFG, "trees"), "lgb": model.train_counts(rows, names, CFG, "glm", {"regParam": 1.0})}
+    activity = model.train_activity(rows, names, CFG)
+    found = model.predict_ensemble(models, model.model_matrix(features.where("split = 'test'"), names, CFG), names, CFG, activity)
+    preds = found.select(ID, F.col("prediction").alias(io.RAW), F.log1p("prediction").alias(io.LOG))
+    submission = io.build_submission(io.publish_predictions(preds, new_path(s, "published"), CFG), data.test_ids(s, d), CFG)
+    io.check_submission(submission, data.test_ids(s, d), CFG)
+    return submission
+
+
 @query("ensemble")
 def _(s, d):
     raw = F.col(io.RAW)
@@ -387,15 +452,87 @@ def _(s, d):
 
 @query("importances")
 def _(s, d):
-    rows = model.model_matrix(_folded(s, d), FEATURES, CFG)
-    fitted = {"xgb": model.train_counts(rows, FEATURES, CFG, "gbt").models, "lgb": model.train_counts(rows, FEATURES, CFG, "glm").models}
-    return evaluate.importance_table(model.importances(fitted, FEATURES, s), CFG)
+    _, models = _counted(s, d)
+    return evaluate.importance_table(model.importances({k: m.models for k, m in models.items()}, FEATURES, s), CFG)
+
+
+def _strengths(s: SparkSession, d: str) -> DataFrame:
+    """Importances that SQL has too."""
+    corr = select.target_correlations(_train(s, d), FEATURES, CFG.target)
+    return corr.select("feature", F.col("corr").alias("xgb_imp"), (1 - F.col("corr")).alias("lgb_imp"))
+
+
+@query("importance_table")
+def _(s, d):
+    return evaluate.importance_table(_strengths(s, d).withColumn("lgb_imp", F.col("lgb_imp") / 2), CFG)
 
 
 @query("top_features")
 def _(s, d):
-    strength = select.target_correlations(_train(s, d), FEATURES, CFG.target)
-    return evaluate.top_features(strength.select("feature", F.col("corr").alias("avg_imp")), 3)
+    return evaluate.top_features(_strengths(s, d).select("feature", F.col("xgb_imp").alias("avg_imp")), 3)
+
+
+def _two_predictors(s: SparkSession, d: str) -> DataFrame:
+    rows = _oof(s, d).where("fold > 0")
+    return evaluate.cv_table(rows, rows.withColumn("p", F.col("p") / 2))
+
+
+@query("cv_table")
+def _(s, d):
+    return _two_predictors(s, d)
+
+
+@query("cv_summary")
+def _(s, d):
+    return evaluate.cv_summary(_two_predictors(s, d))
+
+
+@query("drop_empty")
+def _(s, d):
+    rows = data.demographics(s, d).withColumns({"nothing": F.lit(None).cast("double"), "no.text": F.lit(None).cast("string")})
+    return clean.drop_empty_columns(rows)
+
+
+@query("inputs")
+def _(s, d):
+    """Rows of every input: labels, ids and sample are written as CSV first."""
+    paths = {"transactions": f"{d}/lineitem.parquet", "financials": f"{d}/events.parquet", "demographics": f"{d}/customer.parquet"}
+    for name, rows in (("labels", data.labels(s, d)), ("test_ids", data.test_ids(s, d)), ("sample", data.test_ids(s, d))):
+        paths[name] = new_path(s, name)
+        io.write_csv(rows, paths[name])
+    found = io.read_inputs(s, paths, CFG)
+    total = lambda k, x: found[k].agg(F.lit(k).alias("input"), F.count("*").alias("n"), F.sum(x).cast("double").alias("total"))
+    out = total("labels", CFG.target)
+    for k, x in (("test_ids", F.col(ID).cast("long")), ("sample", F.col(ID).cast("long")), ("financials", "value"), ("demographics", "c_acctbal")):
+        out = out.unionByName(total(k, x))
+    return out
+
+
+@query("feature_store")
+def _(s, d):
+    rows = assemble.attach(assemble.label_union(data.labels(s, d), data.test_ids(s, d), CFG), _past(s, d), CFG)
+    stored = s.read.parquet(io.write_feature_store(rows, new_path(s, "features"), by_split=True))
+    return stored.groupBy("split").agg(F.count("*").alias("customers"), F.sum("hist_total_amount").alias("hist_total_amount"))
+
+
+@query("publish")
+def _(s, d):
+    io.publish_predictions(data.predictions(s, d), new_path(s, "published"), CFG)
+    return s.table("v_submission_ready")
+
+
+@query("diagnostics_csv")
+def _(s, d):
+    path = new_path(s, "diagnostics")
+    io.write_csv(evaluate.out_of_fold(_oof(s, d)), path)
+    return io.read_csv(s, path, "fold int, n long, rmsle double, rmse double, mae double")
+
+
+@query("outreach_export")
+def _(s, d):
+    path = new_path(s, "outreach")
+    io.write_csv(report.outreach(report.risk_bands(data.predictions(s, d))).select(ID, io.RAW, "risk_flag"), path)
+    return io.read_csv(s, path, f"{ID} long, {io.RAW} double, risk_flag string")
 
 
 @query("risk_bands")

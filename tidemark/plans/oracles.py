@@ -185,3 +185,37 @@ ORACLES["pred_histogram"] = _with(PRED + ", top AS (SELECT quantile_cont(p, 0.95
 ORACLES["lookup"] = _with(PRED, f"SELECT {i('c', 'customer_id')}, {d('p', 'predicted_next_3m_txn_count_raw')} FROM pred WHERE CAST(c AS VARCHAR) = trim(' 7 ')")
 ORACLES["outreach"] = _with(PRED, f"SELECT {i('c', 'customer_id')}, {d('p', 'predicted_next_3m_txn_count_raw')}, flag AS risk_flag FROM band WHERE flag IN ('Dormant', 'At Risk')")
 ORACLES["feature_views"] = _with(PAST + ", " + LABELS, f"SELECT split, {i('count(*)', 'customers')}, {d('sum(s_amt)', 'hist_total_amount')} FROM (SELECT c, 'train' AS split FROM lab UNION ALL SELECT c_custkey, 'test' FROM customer WHERE c_custkey % 5 = 0) u LEFT JOIN hist ON u.c = hist.c GROUP BY split")
+
+ORACLES["segment_dummies"] = f"SELECT {i('c_custkey', 'customer_id')}, {i('c_nationkey % 5', 'customer_segment')}, " + ", ".join(i(f"c_nationkey % 5 = {k}", f"seg_{k}") for k in range(5)) + " FROM customer"
+ORACLES["segment_counts"] = f"SELECT {i('c_nationkey % 5', 'customer_segment')}, {i('count(*)', 'customers')} FROM customer GROUP BY c_nationkey % 5"
+_corr = "strength AS (" + " UNION ALL ".join(f"SELECT '{k}' AS f, {n} AS j, coalesce(abs(corr({x}, ln(1 + y))), 0) AS s, var_samp({x}) AS v FROM train" for n, (k, x) in enumerate(_four)) + ")"
+ORACLES["top_features"] = _with(TRAIN + ", " + _corr, f"SELECT f AS feature, {d('s', 'avg_imp')} FROM strength ORDER BY s DESC, f LIMIT 3")
+ORACLES["importance_table"] = _with(TRAIN + ", " + _corr, f"SELECT f AS feature, {d('s', 'xgb_imp')}, {d('(1 - s) / 2', 'lgb_imp')}, {d('s * 0.5 + (1 - s) / 2 * 0.5', 'avg_imp')} FROM strength")
+_pairs = " UNION ALL ".join(f"SELECT {j} AS j, {k} AS i, abs(corr({x}, {y})) AS r FROM train" for j, (_, x) in enumerate(_four) for k, (_, y) in enumerate(_four[:j]))
+ORACLES["selected"] = "WITH RECURSIVE " + TRAIN + f""", {_corr}, pairs AS (SELECT row_number() OVER (ORDER BY p.j, p.i) AS n, p.*, a.f AS c, b.f AS partner, a.s < b.s AS weaker FROM ({_pairs}) p JOIN strength a ON a.j = p.j JOIN strength b ON b.j = p.i),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS gone, true AS visited
+  UNION ALL
+  SELECT n, CASE WHEN visited AND NOT list_contains(gone, partner) AND r > 0.97 THEN list_append(gone, CASE WHEN weaker THEN c ELSE partner END) ELSE gone END, visited
+  FROM (SELECT pairs.n, gone, c, partner, weaker, r, CASE WHEN i = 0 THEN NOT list_contains(gone, c) ELSE visited END AS visited FROM walk JOIN pairs ON pairs.n = walk.n + 1))
+SELECT f AS feature FROM strength WHERE v > 1e-6 AND NOT list_contains((SELECT gone FROM walk ORDER BY n DESC LIMIT 1), f) ORDER BY s DESC, f LIMIT 3"""
+_folded = lambda p: f"sqrt(avg(pow(ln(1 + y) - ln(1 + greatest({p}, 0)), 2))), sqrt(avg(pow(y - {p}, 2)))"
+_cv = OOF + f", cv AS (SELECT fold, {_folded('p')}, {_folded('p / 2')} FROM oof WHERE fold > 0 GROUP BY fold), cvt(fold, xgb_rmsle, xgb_rmse, lgb_rmsle, lgb_rmse) AS (SELECT * FROM cv)"
+_names = ("xgb_rmsle", "xgb_rmse", "lgb_rmsle", "lgb_rmse")
+ORACLES["cv_table"] = _with(_cv, f"SELECT {i('fold', 'fold')}, " + ", ".join(d(c, c) for c in _names) + " FROM cvt")
+ORACLES["cv_summary"] = _with(_cv, "SELECT " + ", ".join(d(f"{f}({c})", f"{n}_{c}") for c in _names for n, f in (("mean", "avg"), ("std", "stddev_samp"))) + " FROM cvt")
+ORACLES["drop_empty"] = _with(DEMO, f"SELECT {i('c', 'customer_id')}, {d('bal', 'c_acctbal')}, seg AS c_mktsegment, n_name, c_name FROM demo")
+_total = lambda k, x, rows: f"SELECT '{k}' AS input, {i('count(*)', 'n')}, {d(f'sum({x})', 'total')} FROM {rows}"
+ORACLES["inputs"] = _with(TXN + ", " + LABELS, " UNION ALL ".join([_total("labels", "y", "lab"), *[_total(k, "c_custkey", "customer WHERE c_custkey % 5 = 0") for k in ("test_ids", "sample")], _total("financials", "value", "events"), _total("demographics", "c_acctbal", "customer")]))
+ORACLES["feature_store"] = ORACLES["feature_views"]
+ORACLES["publish"] = _with(PRED, f"SELECT {i('c', 'customer_id')}, {d('ln(1 + greatest(p, 0))', 'next_3m_txn_count')} FROM pred")
+ORACLES["diagnostics_csv"] = ORACLES["oof_eval"]
+ORACLES["outreach_export"] = ORACLES["outreach"]
+_GROUPS = ("history", "rolling", "lags", "trend", "yearly_mean", "month_season", "festive_q4", "streaks", "gini", "velocity", "decay", "debit_credit", "balance", "recency", "txn_gap", "amounts", "large_frac", "diversity", "latest_snapshot", "impute_median", "label_encode")
+_as_of = lambda sql: sql.replace("ON l_partkey = p_partkey))", f"ON l_partkey = p_partkey WHERE l_shipdate <= {T}))")
+_freq = _with(DEMO, f"SELECT {i('c', 'customer_id')}, {d('count(*) OVER (PARTITION BY c_name) / (SELECT count(c_name) FROM demo)', 'c_name_freq_enc')} FROM demo")
+ORACLES["assemble_groups"] = _with(
+    f"{TXN}, {LABELS}, ids AS (SELECT c AS customer_id, 'train' AS split, y AS next_3m_txn_count FROM lab UNION ALL SELECT c_custkey, 'test', NULL FROM customer WHERE c_custkey % 5 = 0), "
+    + ", ".join(f"g_{g} AS ({_as_of(ORACLES[g])})" for g in _GROUPS) + f", g_freq AS ({_freq})",
+    "SELECT * FROM ids " + " ".join(f"LEFT JOIN g_{g} USING (customer_id)" for g in (*_GROUPS, "freq")),
+)
