@@ -387,13 +387,55 @@ def test_classifiers_on_odd_rows(spark):
 
 
 def test_grammar_weighs_clauses():
-    g = toxicity.Grammar({"idiot": 5.0, "lowei*": 4.0}, toxicity.Settings())
+    g = toxicity.Grammar({"idiot": 5.0, "lowei*": 4.0})
     score = lambda t: g.measures(t)[0]
     assert score("You idiot.") > score("An idiot.") > score("He said idiot.") > 0
     assert score("Not an idiot.") < score("An idiot.") and score("A loweischaft here") == 4.0
     assert score("A clean sentence. Nothing here.") == 0 and score("I will kill time") == 0 < score("they kill you")
 
 
+def test_composed_machine_equals_plain_reading():
+    """The best path of the composed transducers against a direct reading of the rules."""
+    s = toxicity.Settings()
+    g = toxicity.Grammar({"idiot": 5.0, "scum*": 3.0}, {"foe": "target", "hardly": "negation", "alleges": "report", "maim": "threat"})
+    rng, kinds = random.Random(6), {"target": ["foe", "you"], "negation": ["hardly", "not"], "report": ["alleges", "said"], "threat": ["maim", "kill"]}
+    pool = ["idiot", "scummy", "the", "a", "of", *[w for ws in kinds.values() for w in ws]]
+
+    def plain(words):
+        at = lambda kind: [i for i, w in enumerate(words) if w in kinds[kind]]
+        total, sums, targets = 0.0, dict.fromkeys(toxicity.MARKS, 0.0), bool(at("target"))
+        for i, w in enumerate(words):
+            weight = 5.0 if w == "idiot" else 3.0 if w.startswith("scum") else s.threat if i in at("threat") and targets else 0.0
+            marks = {"negated": any(0 < i - j <= 3 for j in at("negation")), "reported": any(j < i for j in at("report")), "targeted": targets}
+            for m, factor in (("negated", s.negated), ("reported", s.reported), ("targeted", s.target)):
+                if weight and marks[m]:
+                    sums[m] += weight
+            if weight and w in kinds["threat"]:
+                sums["threat"] += weight
+            total += weight * (s.negated if marks["negated"] else 1) * (s.reported if marks["reported"] else 1) * (s.target if targets else 1)
+        return [total, *sums.values()]
+
+    for _ in range(3000):
+        words = [rng.choice(pool) for _ in range(rng.randint(0, 12))]
+        total, sums = g.clause(words)
+        assert [total, *sums] == pytest.approx(plain(words)), words
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_marks_count(spark):
+    """Texts that differ only in a target, a negation or a report get different scores, by coefficients that were learned."""
+    labels, texts = [], []
+    for i in range(400):
+        toxic = i % 2
+        texts.append((i, f"word{i % 7} some idiot {'you' if toxic else 'not'} here. More words follow" if i % 3 else f"he said an idiot was there{i % 5}. Fine"))
+        labels.append((i, int(toxic and bool(i % 3))))
+    docs, labels = spark.createDataFrame(texts, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True), settings=toxicity.Settings(least_weight=0.1, least_strength=0.1))
+    with_marks = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert {r.doc_id: r.score for r in toxicity.score(docs, model.without("targeted")).collect()} != with_marks
+    assert sum((with_marks[i] >= 0.5) == bool(i % 2 and i % 3) for i in with_marks) >= 380
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
