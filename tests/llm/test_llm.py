@@ -358,10 +358,34 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def planted_pairs(n, dim, cosine, seed):
+    """n pairs of unit vectors at that cosine: rows 2 i and 2 i + 1."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return np.stack([a, cosine * a + np.sqrt(1 - cosine**2) * b], axis=1).reshape(2 * n, dim)
+
+
 def test_collision_plan_keeps_its_promise():
+    """Planted pairs at the least cosine share a cell in some cut and have enough collisions, random ones seldom have."""
+    s = vectors.Settings()
     for rows in (10, 5_000, 10**7):
-        k, tables = vectors.Settings().plan(rows)
-        assert tables >= 2 and rows / 2**k <= 128
+        k, cuts = s.plan(rows)
+        assert rows / 2**k <= s.cell and 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** k) ** cuts >= 1 - s.miss / 2
+    x = planted_pairs(4000, 64, 0.9301, 1)
+    k, cuts = s.plan(200_000)
+    cells = vectors._cells(x, k, cuts)
+    assert (cells[::2] == cells[1::2]).any(axis=1).mean() >= 0.999
+    enough, random_ = [], []
+    for i in range(0, 1600, 200):
+        counts = vectors.collisions(x[i : i + 200], s)
+        at = np.arange(0, 200, 2)
+        enough += (counts[at, at + 1] >= s.least).tolist()
+        counts[at, at + 1] = 0
+        random_.append((counts >= s.least).sum() / (200 * 199 / 2))
+    assert np.mean(enough) >= 0.999 and np.mean(random_) < 0.01
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
