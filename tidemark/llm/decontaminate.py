@@ -35,8 +35,9 @@ class Settings:
     similarity: float = 0.8
     radius: int = 45  # of 128 bits; at similarity 0.8 a bit differs with probability 0.205: mean 26.2, deviation 4.6
     blocks: int = 16  # of 8 bits
-    bits_per_shingle: int = 16  # of the set by which texts are told apart
-    most_bits: int = 28  # binary logarithm of its size at most; beyond, texts are kept that needn't be
+    bits_per_shingle: int = 64  # of the set by which texts are told apart
+    least_bits: int = 22  # binary logarithm of its size at least
+    most_bits: int = 30  # and at most; beyond, texts are kept that needn't be
 
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -86,12 +87,25 @@ def _items(items: DataFrame, item: str, text: str, s: Settings) -> tuple[DataFra
     return settle(weighed.withColumn("heavy", F.slice("x", F.lit(1), count["c"])), "weighed"), known
 
 
+def _slot(h: np.ndarray, k: int, size: int) -> np.ndarray:
+    """The k-th of three places of each hash in a set of size bits, a power of two."""
+    h = words.mix(h ^ np.uint64(k * 0xA0761D6478BD642F % 2**64)) if k else h
+    return (h & np.uint64(size - 1)).astype(np.int64)
+
+
 def _bits(known: DataFrame, s: Settings) -> np.ndarray:
-    """The set of the known shingles' hash bits, of at most 2**most_bits."""
-    size = max(16, min(s.most_bits, (s.bits_per_shingle * known.count()).bit_length()))
-    slot = F.col("s").bitwiseAND(F.lit((1 << size) - 1))
-    found = known.groupBy(F.shiftright(slot, 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b")).toArrow()
-    bits = np.zeros(1 << (size - 6), np.int64)
+    """The set of the known shingles' hash bits, three for each, of at most 2**most_bits. Tasks send words of it."""
+    size = 1 << max(s.least_bits, min(s.most_bits, (s.bits_per_shingle * known.count()).bit_length()))
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate([_slot(batch.column("s").to_numpy().view(np.uint64), k, size) for k in range(3)]))
+            i, first = np.unique(at >> 6, return_index=True)
+            b = np.bitwise_or.reduceat(np.int64(1) << (at & 63), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(b, pa.int64())], names=["i", "b"])
+
+    found = known.select("s").mapInArrow(run, "i long, b long").groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2**(most_bits - 6) rows
+    bits = np.zeros(size >> 6, np.int64)
     bits[found.column("i").to_numpy()] = found.column("b").to_numpy()
     return bits
 
@@ -104,11 +118,12 @@ def _hits(docs: DataFrame, key: str, text: str, known: DataFrame, s: Settings) -
 
     def run(batches):
         bits = held.value
-        mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
             for i, h, before, _ in _shingles(batch.column("t"), s.shingle):
-                at = h & mask
-                hit = np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64)) & 1)
+                hit = np.arange(len(h))
+                for k in range(3):  # few are left after the first
+                    at = _slot(h[hit], k, len(bits) * 64)
+                    hit = hit[((bits[at >> 6] >> (at & 63)) & 1).astype(bool)]
                 texts = np.unique(np.searchsorted(before, hit, side="right") - 1)
                 ends = np.searchsorted(hit, before)
                 rows = pa.array(texts + i)
