@@ -273,10 +273,11 @@ def test_prefix_counts_and_truncation(spark, library):
 
 
 def test_sharding(spark):
-    df = spark.range(3000).withColumnRenamed("id", "k").unionByName(spark.createDataFrame([(None,), (7,), (7,)], "k long")).withColumn("_part", F.lit(1))
+    df = spark.range(3000).withColumnRenamed("id", "k").unionByName(spark.createDataFrame([(None,), (7,), (7,)], "k long")).withColumns({"_part": F.lit(77), "_s": F.lit(1), "_start": F.lit(2), "_place": F.lit(3), "count": F.lit(4)})
     out = sharding.number_slots(sharding.assign_shards(df, "k", [1.0, 2.0, 0.0, 1.0]), "k", parts=8).toPandas()
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard")) and set(out.shard) == {0, 1, 3}
     assert 0.45 < (out.shard == 1).mean() < 0.55 and (out.k == 7).sum() == 3 and out[out.k == 7].shard.nunique() == 1
+    assert out[["_part", "_s", "_start", "_place", "count"]].drop_duplicates().values.tolist() == [[77, 1, 2, 3, 4]]
     more = sharding.assign_shards(sharding.assign_shards(df, "k", [1.0] * 4), "k", [1.0] * 5, out="grown").where("shard <> grown").toPandas()
     assert set(more.grown) == {4} and 0.15 < len(more) / 3003 < 0.25
     assert sharding.number_slots(sharding.assign_shards(df.limit(0), "k", [1.0]), "k").count() == 0
@@ -284,6 +285,49 @@ def test_sharding(spark):
         sharding.shard_of(F.col("k"), [0.0])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_sharding_query_equals_plain_reading(spark):
+    """Sizes, digests, slots and the shard of largest score, by a plain loop over rows."""
+    import zlib
+
+    rows = sharding.op1_sharding(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    u = spark.createDataFrame([(d, s) for d in texts for s in range(25)], "d long, s int").select("d", "s", F.xxhash64("d", "s").alias("x")).collect()
+    scores = {(r.d, r.s): -1 / np.log(((r.x % 2**64 >> 11) + 0.5) / 2**53) for r in u}
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 8, zlib.crc32(raw) if texts[r.doc_id] is not None else None, "key")
+        assert (r.shard, r.grown_shard) == (max(range(24), key=lambda s: scores[r.doc_id, s]), max(range(25), key=lambda s: scores[r.doc_id, s]))
+    for s in range(24):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_ftrl_equals_plain_updates():
+    """The learner against one coordinate at a time, by the published rule."""
+    s, rng = quality.Settings(bits=4, passes=2), np.random.default_rng(3)
+    rows = []
+    for _ in range(60):
+        i = np.unique(rng.integers(0, 16, 5)).astype(np.int32)
+        rows.append((float(rng.integers(0, 2)), i, rng.random(len(i)).astype(np.float32)))
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(k):
+        l1 = 0.0 if k == 16 else s.l1
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - np.sign(z[k]) * l1) / ((s.beta + n[k] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.passes):
+        for y, i, x in rows:
+            at = [*zip(i.tolist(), x.tolist(), strict=True), (16, 1.0)]
+            p = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in at)))
+            for k, w, v in [(k, weight(k), v) for k, v in at]:
+                g = (p - y) * v
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / s.alpha * w
+                n[k] += g * g
+    w, bias = quality._ftrl(rows, s)
+    assert np.allclose(w, [weight(k) for k in range(16)]) and bias == pytest.approx(weight(16))
+
+
 PAGES = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://d", ""), (5, "http://e\r\nX: y", "é" * 200_000), (None, "http://f", "<p>x</p>"), (6, "http://g", "WARC/1.1\r\n\r\nbody\r\n\r\n")]
 
 
@@ -472,6 +516,29 @@ def test_pipeline_stages(spark):
         before = after
     out = corpus_pipeline.STAGES[-1][1](spark, before, SF)
     assert out.count() == before.count() and out.where("size(ids) <> n_tokens").count() == 0
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == {r.doc_id for r in out.select("doc_id").collect()}
     near = neardup.near_duplicates(before)
     assert near.where("not kept").count() == 0
     assert decontaminate.leaks(before, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null, empty, repeated and very long texts, missing ids, columns with names that the stages use, and no rows."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(*r, "en", "s", 1) for r in [*ODD, (20, item), (21, "another text that has some words of its own, all told"), (22, "another text that has some words of its own, all told")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit(i) for i, c in enumerate(["_score", "score", "_gone", "d", "h", "g", "k", "t", "item_id", "kept", "id", "u1"])}
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs.withColumns(clash), SF)
+        assert out.columns == [*docs.columns, *clash], name
+        found = out.collect()
+        assert all([r[c] for c in clash] == list(range(len(clash))) for r in found), name
+        kept[name] = sorted(r.doc_id or 0 for r in found)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    everything = sorted(r[0] or 0 for r in rows)
+    assert kept["line_dedup"] == kept["near_dedup"] == [x for x in everything if x != 22]
+    assert kept["decontamination"] == [x for x in everything if x != 20]
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs.withColumns(clash), SF).collect()
+    assert len(encoded) == len(rows) and all(r.n_tokens == 0 for r in encoded if r.doc_id in (1, 2))

@@ -1,9 +1,9 @@
 """Byte-level BPE: exact encoding by longest matches and backtracking, decoding, and token counts of every prefix.
 
 A row of tokens is the BPE encoding of its bytes exactly if each two adjacent tokens are the encoding of theirs, so
-encoding needs no merge queue: all tokens that occur in a piece come from one Aho-Corasick pass over its bytes (mapped
-to Latin-1, one character a byte); the longest one that is compatible with the token before is taken, and where none is,
-the last one is given up. Each prefix has one encoding, so a place that was given up is never tried again, and the time
+encoding needs no merge queue: at each place the longest token that begins there, found in an automaton of all tokens
+(mapped to Latin-1, one character a byte), or the next shorter one that is compatible with the token before is taken, and
+where none is, the last one is given up. Each prefix has one encoding, so a place that was given up is never tried again, and the time
 is linear in the piece's length. Whether two tokens are compatible is found by merging their few bytes, and remembered.
 """
 
@@ -290,10 +290,12 @@ def truncate_texts(docs: DataFrame, path: str, budget: int, text: str = "text",
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens and digests of its ids and of what they decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("text")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's numbers of bytes and tokens, and whether it has more than 512 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")

@@ -28,6 +28,10 @@ from tidemark.llm.graph import components
 from tidemark.llm.storage import settle
 
 
+#: Members of a part of a large bucket.
+PART = 256
+
+
 @dataclass(frozen=True)
 class Settings:
     shingle: int = 5  # words
@@ -202,11 +206,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     near = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k", "rep", F.coalesce("component", "rep").alias("c"))
     near = settle(near, "near")
-    mixed = near.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k", "low")
-    near = settle(near.join(mixed, "k").join(sign, "rep"), "mixed")
-    other = near.where("c <> low").select("k", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("packed").alias("y"), F.col("parity").alias("z"))
+    # a bucket of many members is dealt out in parts, each of which meets all members outside the bucket's first component
+    mixed = near.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("low <> high").select("k", "low", "parts")
+    near = near.join(mixed, "k").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    near = settle(near.join(sign, "rep"), "mixed")
+    other = near.where("c <> low").select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("packed").alias("y"), F.col("parity").alias("z"))
     alike = (_different(F.col("packed"), F.col("y"), s) <= s.most_different) & _may_be_similar(F.col("n"), F.col("parity"), F.col("m"), F.col("z"), s)
-    rest = near.join(other, "k").where((F.col("c") < F.col("d")) & alike)
+    rest = near.join(other, ["k", "part"]).where((F.col("c") < F.col("d")) & alike)
     rest = rest.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     rest = rest.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     rest = settle(rest, "rest")
@@ -220,5 +226,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of two-word shingles and the smallest id that links of similarity 0.8 lead to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, settings=Settings(shingle=2)).withColumnRenamed("id", "doc_id")

@@ -41,16 +41,18 @@ def number_slots(df: DataFrame, key: str, shard: str = "shard", out: str = "slot
 
     Rows are numbered inside parts of a shard, that hashes of key and ties choose, by key and ties; a part starts where
     those before it end. So no task holds a shard, and a hot key is split as far as the ties tell its rows apart.
-    Rows that agree in all of these are numbered in any order.
+    Rows that agree in all of these are numbered in any order. Rows without a shard get no slot and are left out. A
+    column named as out is replaced, all others are kept, whatever their names.
     """
-    by = [F.col(key), *[F.col(c) for c in ties]]
-    held = df.withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), *by), F.lit(parts)).cast("int"))
-    sizes = held.groupBy(shard, "_part").count()  # at most shards x parts rows
-    before = F.sum("count").over(Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col(shard).alias("_s"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(shard, "_part").orderBy(*by)) - 1
-    numbered = held.withColumn("_place", place).join(F.broadcast(starts), (F.col(shard) == F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return numbered.withColumn(out, F.col("_start") + F.col("_place")).select(*[c for c in df.columns if c != out], out)
+    by, longest = [F.col(key), *[F.col(c) for c in ties]], max(map(len, df.columns))
+    part, size, s, p, start, place = (f"{'_' * longest}{c}" for c in ("part", "size", "s", "p", "start", "place"))  # no column has these names
+    held = df.withColumn(part, F.pmod(F.xxhash64(F.lit("part"), *by), F.lit(parts)).cast("int"))
+    sizes = held.groupBy(shard, part).agg(F.count("*").alias(size))  # at most shards x parts rows
+    before = F.sum(size).over(Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col(shard).alias(s), F.col(part).alias(p), F.coalesce(before, F.lit(0)).alias(start))
+    within = F.row_number().over(Window.partitionBy(shard, part).orderBy(*by)) - 1
+    numbered = held.withColumn(place, within).join(F.broadcast(starts), (F.col(shard) == F.col(s)) & (F.col(part) == F.col(p)))
+    return numbered.withColumn(out, F.col(start) + F.col(place)).select(*[c for c in df.columns if c != out], out)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
