@@ -211,3 +211,48 @@ def test_two_stage_models_beat_a_constant(spark):
     constant = oof.withColumn("p", F.lit(float(np.mean([r[2] for r in rows]))))
     assert one(evaluate.errors(oof, "y", "p"))["rmsle"] < one(evaluate.errors(constant, "y", "p"))["rmsle"]
     assert 0 <= model.auc(model.train_activity(m, ["x"], cfg).out_of_fold) <= 1
+
+
+def test_fold_models_predict_rows_they_never_saw(spark):
+    cfg = replace(CFG, folds=2)
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, float(x), float(rng.poisson(np.exp(1.5 * (x > 0.5)))), 0) for i, x in enumerate(rng.random(300))]
+    m = spark.createDataFrame(rows, "customer_id long, fold int, x double, y double, active int").withColumn("active", (F.col("y") > 0).cast("int"))
+    fitted = {"xgb": model.train_counts(m, ["x"], cfg, "trees"), "lgb": model.train_counts(m, ["x"], cfg, "glm")}
+    activity = model.train_activity(m, ["x"], cfg)
+    new = spark.createDataFrame([(1000, 0.1), (1001, 0.9), (1002, None)], "customer_id long, x double").fillna(0.0)
+    got = {r.customer_id: r for r in model.predict_ensemble(fitted, new, ["x"], cfg, activity).collect()}
+    assert set(got) == {1000, 1001, 1002} and got[1001].prediction > 2 * got[1000].prediction
+    for r in got.values():
+        mean = lambda k, r=r: (r[f"{k}_1"] + r[f"{k}_2"]) / 2
+        assert r.prediction == pytest.approx((0.5 * max(0, mean("xgb")) + 0.5 * max(0, mean("lgb"))) * mean("active"))
+    assert 0 < len(fitted["xgb"].models[0].trees) <= 12
+    shares = {r.feature: (r.xgb_imp, r.lgb_imp) for r in model.importances({k: v.models for k, v in fitted.items()}, ["x"], spark).collect()}
+    assert shares == {"x": (1.0, 1.0)}
+
+
+def test_poisson_trees_stop_early(spark):
+    rows = [(float(i % 7), 3.0 + i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    from pyspark.ml.feature import VectorAssembler
+
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    flat = df.withColumn("y", F.lit(3.5))
+    assert len(model.fit_poisson_trees(df, flat, 1, rounds=12, patience=2).trees) < 12
+    assert model.fit_poisson_trees(df.withColumn("y", F.lit(0.0)), flat, 1).trees == []
+
+
+def test_bucketed_tables_need_no_shuffle(spark):
+    from tidemark.sources.shared import settle_by
+
+    df = settle_by(spark.range(1000).select((F.col("id") % 50).alias("customer_id"), "id"), "customer_id", "t")
+    out = df.groupBy("customer_id").agg(F.sum("id").alias("s")).join(df.groupBy("customer_id").count(), "customer_id")
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString() and out.count() == 50
+
+
+def test_names_of_values(spark):
+    rows = [(1, "a.b"), (1, "a b"), (2, "a.b"), (2, "c")]
+    long = categories.counts(spark.createDataFrame(rows, "customer_id long, category string"), CFG, "category")
+    out = categories.vectors(long, CFG, "cat_frac_", "e", 1).orderBy("customer_id")
+    assert set(out.columns) == {"customer_id", "e1", "cat_frac_a_b", "cat_frac_a_b_", "cat_frac_c"}
+    assert [round(r.cat_frac_c, 6) for r in out.collect()] == [0.0, 0.5]

@@ -89,9 +89,10 @@ def isolation_forest(df: DataFrame, cfg: TxnConfig, columns: Sequence[str] | Non
 
 def robust_scale(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
     """(x - median) / interquartile range, by exact percentiles; a range of 0 counts as 1."""
-    stats = df.agg(*[percentile(filled(c), p).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, p in (("m", 0.5), ("a", 0.25), ("b", 0.75))]).first()
-    width = [stats[f"b_{i}"] - stats[f"a_{i}"] or 1.0 for i in range(len(columns))]
-    return df.withColumns({f"{c}{suffix}": (filled(c) - F.lit(stats[f"m_{i}"])) / F.lit(width[i]) for i, c in enumerate(columns)})
+    stats = df.agg(*[F.percentile(filled(c), [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, c in enumerate(columns)]).first()
+    low, middle, high = np.array([stats[f"q_{i}"] or [0.0] * 3 for i in range(len(columns))]).reshape(-1, 3).T.tolist()
+    width = [b - a or 1.0 for a, b in zip(low, high, strict=True)]
+    return df.withColumns({f"{c}{suffix}": (filled(c) - F.lit(middle[i])) / F.lit(width[i]) for i, c in enumerate(columns)})
 
 
 def pca(df: DataFrame, columns: Sequence[str], components: int = 10) -> DataFrame:

@@ -285,9 +285,10 @@ def _(s, d):
 
 
 def _components(s: SparkSession, d: str) -> DataFrame:
-    h = monthly.history(_months(s, d), CFG)
+    h = settle(monthly.history(_months(s, d), CFG), "history")  # read by the jobs that fit scales and components
     names = matrix.numeric_columns(h, [ID])
-    return matrix.pca(matrix.robust_scale(h, names).select(ID, *names), names, CFG.components).drop(*names)
+    scaled = settle(matrix.robust_scale(h, names).select(ID, *names), "scaled")
+    return matrix.pca(scaled, names, CFG.components).drop(*names)
 
 
 @query("pca")
