@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import settle
+from tidemark.llm.storage import drop, settle
 
 #: Lines of fewer words are never removed for a line one edit away, which would leave less than four fifths of them equal.
 MIN_WORDS = 5
@@ -157,35 +157,56 @@ def _may_be_near(per: int) -> Column:
     return (F.col("y.at") < F.col("x.at")) & (F.abs(F.col("x.n") - F.col("y.n")) <= bound) & bits[0] & bits[1]
 
 
-def _candidates(lines: DataFrame, unique: DataFrame, per: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (at, earlier, lead) of lines that share a key, those with the earliest member of a group (lead) and all others
-    of groups of at most GROUP members; and the larger groups' members (v, x)."""
+def _groups(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
+    """(v, xs, y, c): groups of lines that share a key: all members, the earliest and their number. A group of more than
+    GROUP members has a row for each of them."""
     keys = _shared_runs(lines, unique, per, min(GRAM, per // 2)).join(unique.select("h", F.struct("at", "n", "p").alias("x")), "h").select("v", "x")
     group = Window.partitionBy("v")
-    keys = settle(keys.withColumns({"y": F.min("x").over(group), "c": F.count("*").over(group)}), "keys")
-    pair = lambda df, lead: df.where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier"), F.lit(lead).alias("lead"))
-    few = keys.where(F.col("c").between(3, GROUP)).groupBy("v").agg(F.collect_list("x").alias("xs"))  # at most GROUP
-    few = few.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y"))
-    pairs = pair(keys, True).unionByName(pair(few, False)).groupBy("at", "earlier").agg(F.max("lead").alias("lead"))
-    return settle(pairs, "pairs"), settle(keys.where(F.col("c") > GROUP).select("v", "x"), "many")
+    keys = keys.withColumns({"y": F.min("x").over(group), "c": F.count("*").over(group)})
+    alone = F.when(F.col("c") > GROUP, F.col("x.at"))  # dealt out by v already
+    return settle(keys.groupBy("v", alone.alias("alone")).agg(F.collect_list("x").alias("xs"), F.first("y").alias("y"), F.first("c").alias("c")).drop("alone"), "keys")
 
 
-def _near_long(texts: DataFrame, pairs: DataFrame, many: DataFrame, per: int) -> DataFrame:
-    """(at) of those lines that an earlier one is within the bound of; texts are (at, line)."""
+def _pairs(rows: DataFrame, per: int) -> DataFrame:
+    """(at, earlier), each once, of those of rows (x, y) that may be near."""
+    return settle(rows.where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier")).distinct(), "pairs")
+
+
+def _places(pairs: DataFrame) -> DataFrame:
+    return pairs.select("at").unionByName(pairs.select(F.col("earlier").alias("at")))
+
+
+def _fetch(lines: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(at, line) and (at, code) of the lines at places (at); a code has a character for each word, of 8 bits of its hash."""
+    texts = settle(_texts(lines, places.distinct()).dropDuplicates(["at"]), "texts")
     code = F.array_join(F.transform(F.split("line", " "), lambda x: F.char(F.xxhash64(x).bitwiseAND(F.lit(255)))), "")
-    codes = settle(texts.select("at", code.alias("code")), "codes")
-    near = settle(_verified(texts, codes, pairs.where("lead"), per), "near")
-    near = settle(near.unionByName(_verified(texts, codes, pairs.where("not lead").join(near, "at", "left_anti"), per)), "near")
-    # members of large groups not yet found: with those earlier members that share a word which few of the group have
-    words = many.join(texts.select("at", "line"), F.col("x.at") == F.col("at")).select("v", "x", F.explode(F.array_distinct(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)))).alias("w"))
+    return texts, settle(texts.select("at", code.alias("code")), "codes")
+
+
+def _near_long(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
+    """(at) of those of lines (d, l, line, n), all of 2 * per words or more, that an earlier one is within the bound of."""
+    keys = _groups(lines, unique, per)
+    lead = _pairs(keys.select("y", F.explode("xs").alias("x")), per)
+    texts, codes = _fetch(lines, _places(lead))
+    near = settle(_verified(texts, codes, lead, per), "near")
+    # members that aren't near the earliest of a group: with all earlier ones of small groups, and in large ones with those
+    # that share a word which few of the group have
+    gone = near.select(F.col("at").alias("gone"))
+    rest = keys.where(F.col("c").between(3, GROUP)).select("xs", F.explode("xs").alias("x")).join(gone, F.col("x.at") == F.col("gone"), "left_anti")
+    pairs = settle(_pairs(rest.select("x", F.explode("xs").alias("y")), per).join(lead, ["at", "earlier"], "left_anti"), "rest")
+    many = settle(keys.where(F.col("c") > GROUP).select("v", F.col("xs")[0].alias("x")), "many")
+    for df in (keys, texts, codes):
+        drop(df)
+    texts, codes = _fetch(lines, _places(pairs).unionByName(many.select("x.at")))
+    near = settle(near.unionByName(_verified(texts, codes, pairs, per)).distinct(), "near")
+    words = many.join(texts, F.col("x.at") == F.col("at")).select("v", "x", F.explode(F.array_distinct(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)))).alias("w"))
     words = settle(words, "words")
     count = words.groupBy("v", "w").agg(F.count("*").alias("c"))
     rare = words.join(count, ["v", "w"]).groupBy("v", "x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "w"))), 1, (F.floor(F.first("x.n") / per) + 1).cast("int")).alias("k"))
     rare = settle(rare.select("v", "x", F.explode("k.w").alias("w")), "rare")
     mine = rare.join(near.select(F.col("at").alias("gone")), F.col("x.at") == F.col("gone"), "left_anti")
-    more = mine.join(rare.select("v", "w", F.col("x").alias("y")), ["v", "w"]).where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier")).distinct()
-    more = settle(more.join(pairs, ["at", "earlier"], "left_anti"), "more")
-    return near.unionByName(_verified(texts, codes, more, per)).distinct()
+    more = _pairs(mine.join(rare.select("v", "w", F.col("x").alias("y")), ["v", "w"]), per)
+    return settle(near.unionByName(_verified(texts, codes, more, per)).distinct(), "near")
 
 
 def _verified(texts: DataFrame, codes: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
@@ -226,17 +247,15 @@ def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
         shared = shared.where("low <> high").select("k")
         chosen = unique.select("h", "at", F.explode("keys").alias("x")).select("h", "at", "x.*").join(shared, "k", "left_semi")
         chosen = settle(chosen.groupBy("at").agg(F.min("h").alias("h"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "chosen")
-        places = chosen.select("at")
-        if per:
-            pairs, many = _candidates(lines.where(long), unique.where(long), per)
-            places = places.unionByName(pairs.select("at")).unionByName(pairs.select(F.col("earlier").alias("at"))).unionByName(many.select("x.at")).distinct()
-        texts = settle(_texts(lines, places).dropDuplicates(["at"]), "texts")
+        texts = settle(_texts(lines, chosen.select("at")).dropDuplicates(["at"]), "texts")
         near = _near(texts.join(chosen, "at"))
         if per:
-            near = near.unionByName(_near_long(texts, pairs, many, per)).distinct()
+            near = near.unionByName(_near_long(lines.where(long), unique.where(long), per)).distinct()
         gone = gone.unionByName(unique.join(near, "at", "left_semi").select("h", "g", "at", F.lit(True).alias("all")))
         gone = gone.groupBy("h", "g").agg(F.min("at").alias("at"), F.max("all").alias("all"))
     gone = settle(gone, "gone")  # so that the join deals out both sides and may split a line that is everywhere
+    for df in (unique, *((chosen, texts) if max_edits else ())):
+        drop(df)
     same = (F.col("d") == F.col("at.d")) & (F.col("l") == F.col("at.l"))
     return occurs.select("h", "g", "d", "l").join(gone, ["h", "g"]).where(F.col("all") | ~same).select("d", "l", "h")
 
