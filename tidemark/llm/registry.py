@@ -1,6 +1,6 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame, and their SQL."""
 
-from tidemark.llm import align, bpe, codes, decontaminate, lines, neardup, quality, sharding, toxicity, vectors, warc
+from tidemark.llm import align, bpe, codes, decontaminate, lines, neardup, quality, sharding, sketches, toxicity, vectors, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_line_dedup_long": lines.op9_line_dedup_long,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_vector_codes": codes.op11_vector_codes,
+    "op12_fingerprints": sketches.op12_fingerprints,
     "op13_token_alignment": align.op13_token_alignment,
 }
 
