@@ -13,23 +13,36 @@ meet the corpus' counts, so no pair of ids, however frequent, has more rows than
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import encoder
+from tidemark.llm.bpe import vocabulary
 from tidemark.llm.storage import settle
 
-CHUNK_BYTES = 4 << 20  # of text; a longer text is a chunk of its own
-PROBE = 8  # tokens compared at first
+CHUNK_BYTES = 1 << 20  # of text; a longer text is a chunk of its own
+PROBE = 16  # tokens that are compared one by one, before stretches are
+
+
+def _skip(x: bytes, y: bytes, i: int, j: int, most: int) -> int:
+    """How many entries from i on in x equal those from j on in y, at most `most`: by stretches of doubling length, then
+    halving ones."""
+    same, step = 0, PROBE
+    while same + step <= most and x[(i + same) * 8 : (i + same + step) * 8] == y[(j + same) * 8 : (j + same + step) * 8]:
+        same += step
+        step *= 2
+    while step > 1:
+        step //= 2
+        if same + step <= most and x[(i + same) * 8 : (i + same + step) * 8] == y[(j + same) * 8 : (j + same + step) * 8]:
+            same += step
+    return same
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,76 +51,59 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     The last entries of a and b must be equal. No tokens at all give no indices.
     """
     n, m = len(a), len(b)
-    at_a, at_b = [], []
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y = a.astype("<i8").tobytes(), b.astype("<i8").tobytes()  # stretches compare as bytes
-    ends_a, ends_b = a.tolist(), b.tolist()
+    ends_a, ends_b = [*a.tolist(), -1], [*b.tolist(), -2]  # what follows the last tokens never agrees
+    at_a, at_b, runs = [], [], []
     i = j = 0
-    while i < n and j < m:
-        same, step = 0, PROBE  # tokens from (i, j) on that are known to end together one by one
-        while True:
-            p, q, w = (i + same) * 8, (j + same) * 8, step * 8
-            left = x[p : p + w]
-            if left and len(left) == w and left == y[q : q + w]:
-                same += step
-                step *= 2
-                continue
-            break
-        while step > 1:
-            step //= 2
-            p, q, w = (i + same) * 8, (j + same) * 8, step * 8
-            left = x[p : p + w]
-            if len(left) == w and left == y[q : q + w]:
-                same += step
-        if i + same < n and j + same < m and ends_a[i + same] == ends_b[j + same]:  # a stretch of one is left by halving
-            same += 1
-        if same:
-            at_a.append(range(i, i + same))
-            at_b.append(range(j, j + same))
-            i, j = i + same, j + same
-            if i >= n or j >= m:
-                break
+    while i < n:
         u, v = ends_a[i], ends_b[j]
-        while u != v:  # the irregular group
+        while u != v:  # an irregular group: the smaller end moves on; where they meet, the shift j - i is a new one
             if u < v:
                 i += 1
                 u = ends_a[i]
             else:
                 j += 1
                 v = ends_b[j]
-        at_a.append((i,))
-        at_b.append((j,))
-        i, j = i + 1, j + 1
-    return np.fromiter(chain.from_iterable(at_a), np.int64), np.fromiter(chain.from_iterable(at_b), np.int64)
+        at_a.append(i)
+        at_b.append(j)
+        k, short = 1, PROBE
+        while k < short and ends_a[i + k] == ends_b[j + k]:  # few tokens are compared one by one
+            k += 1
+        if k == short:
+            k += _skip(x, y, i + k, j + k, min(n - i, m - j) - k)
+        runs.append(k)
+        i, j = i + k, j + k
+    runs = np.array(runs, np.int64)
+    inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    return np.repeat(np.array(at_a, np.int64), runs) + inside, np.repeat(np.array(at_b, np.int64), runs) + inside
 
 
 class Aligner:
     """Encodes by a byte-level BPE (a) and a sentencepiece model (b), and aligns what they give."""
 
     def __init__(self, bpe: str, pieces: str):
-        self.a, self.b = encoder(bpe), sentencepiece.SentencePieceProcessor(model_file=pieces)
-        b = self.b
+        ranks, _ = vocabulary(bpe)
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
-        n = max(self.a.bytes) + 1
-        self.a_sizes = np.array([len(self.a.bytes.get(i, b"")) for i in range(n)], np.int64)
-        self.b_sizes = np.array(list(map(len, self.b_bytes)), np.int64)
-        self.a_text = np.array([[f"{i},", f"{i}|"] for i in range(n)], object)
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_text = np.array([[f"{i},", f"{i}|"] for i in range(len(self.a_bytes))], object)
         self.b_text = np.array([[f"{i},", f"{i};"] for i in range(len(self.b_bytes))], object)
 
-    def encode(self, texts: Sequence[str]):
-        """Ids by a and by b of each text, with a space before it; none where the tokens' bytes aren't the text's."""
-        for text, b in zip(texts, self.b.encode(list(texts), num_threads=1), strict=True):
-            spaced = f" {text}"
-            whole = spaced.encode()
-            if not text or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-                yield np.zeros(0, np.int64), np.zeros(0, np.int64)
-                continue
-            a = np.fromiter(chain.from_iterable(map(self.a.cache.__getitem__, self.a.pattern.findall(spaced))), np.int64)
-            self.a.cache.trim()
-            if int(self.a_sizes[a].sum()) != len(whole):
-                a, b = a[:0], ()
-            yield a, np.array(b, np.int64)
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by a and by b of a text with a space before it; none where the tokens' bytes aren't the text's."""
+        spaced = f" {text}"
+        whole, b = spaced.encode(), self.b.encode(text, num_threads=1) if text else []
+        if text and b"".join(map(self.b_bytes.__getitem__, b)) == whole:
+            a = np.array(self.a.encode_ordinary(spaced), np.int64)
+            if int(self.a_sizes[a].sum()) == len(whole):
+                return a, np.array(b, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def groups(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
         """`a1,a2|b1;a3|b2,b3` of the groups that close at these indices."""
@@ -152,7 +148,7 @@ def _blocks(rows: DataFrame, bpe: str, pieces: str) -> DataFrame:
     def block(number, ids, texts):
         al = aligner(bpe, pieces)
         n_a, n_b, sha, links = [], [], [], []
-        for a, b in al.encode([t or "" for t in texts]):
+        for a, b in (al.encode(t or "") for t in texts):
             at_a, at_b = align(np.cumsum(al.a_sizes[a]), np.cumsum(al.b_sizes[b]))
             n_a.append(len(a))
             n_b.append(len(b))

@@ -210,15 +210,11 @@ class Encoder:
         return text[: max(i for i, n in enumerate(counts) if n <= budget)]
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """The encoder of a .tiktoken rank file or a byte-level BPE .json; one for each worker process and file.
-
-    Of a .json the added special tokens are recognised inside texts, as its library does by default.
-    """
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Byte strings with their ids, in merging order, and the added special tokens, of a .tiktoken rank file or a
+    byte-level BPE .json."""
     if path.endswith(".tiktoken"):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-        return Encoder(ranks, public_tokenizers.PATTERN)
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}, {}
     spec = json.loads(Path(path).read_text(encoding="utf-8"))
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as their own characters
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -228,6 +224,14 @@ def encoder(path: str) -> Encoder:
     made = [spec["model"]["vocab"]["".join(m)] for m in merges]
     if made != sorted(made):
         raise ValueError("ids are not in merging order")
+    return vocab, special
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary file; one for each worker process and file. Of a .json the added special tokens are
+    recognised inside texts, as its library does by default."""
+    vocab, special = vocabulary(path)
     return Encoder(vocab, public_tokenizers.PATTERN, special)
 
 
