@@ -221,7 +221,17 @@ def fingerprint_versions(docs: DataFrame, key: str = "doc_id", text: str = "text
     equal ones following each other. Null texts are empty. A single row follows itself. An empty table gives no rows.
     """
     s, spark = settings, docs.sparkSession
-    n = buckets(spark)
+    # all joins here are of tables that are dealt out by p, on p and more: without this they would be shuffled by all keys
+    name, n = "spark.sql.requireAllClusterKeysForCoPartition", buckets(spark)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return _versions(docs, key, text, n, s)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _versions(docs: DataFrame, key: str, text: str, n: int, s: Settings) -> DataFrame:
     rows = with_next(docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")), 4 * n, s)
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.expr("left(text, int(n_chars - n_chars div 2))"), F.expr("left(next, int(n_chars div 2))"))
