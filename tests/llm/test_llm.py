@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -176,8 +177,8 @@ ITEMS = [(1, "The quick brown fox jumps over the lazy dog near the old river ban
 
 def brute_leaks(docs, items):
     words = lambda t: re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().lower())
-    cut = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    sets = {i: cut(words(t)) for i, t in items if t and words(t)}
+    cut = lambda w, k: {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    sets = {i: cut(words(t), min(5, len(words(t)))) for i, t in items if t and words(t)}
     held = defaultdict(int)
     for s in sets.values():
         for x in s:
@@ -189,7 +190,7 @@ def brute_leaks(docs, items):
         for i, s in sets.items():
             n = len(words(dict(items)[i]))
             for p in range(len(w)):
-                v = cut(w[p : p + n]) if len(w) - p >= 5 or p == 0 else set()
+                v = cut(w[p : p + n], min(5, n))
                 if v and weigh(v & s) >= 0.8 * max(weigh(v), weigh(s)) - 1e-12:
                     out.add((d, i))
                     break
@@ -208,7 +209,18 @@ def test_leaks_equal_brute_force(spark):
     docs += [(100, "one two three"), (101, "so one two three four"), (102, None), (103, ""), (104, LONG), (105, fill(300))]
     got = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(ITEMS, "item_id long, text string"))
     found = {(r.doc_id, r.item_id) for r in got.collect()}
-    assert found == brute_leaks(docs, ITEMS) and (100, 2) in found and 20 < len(found) < 61
+    assert found == brute_leaks(docs, ITEMS) and {(100, 2), (101, 2)} <= found and 20 < len(found) < 62
+
+
+def test_leaks_of_short_items(spark):
+    """Items of fewer than five words are found anywhere, beside longer ones; some share words, an id, or all their text."""
+    items = [(1, "alpha bravo charlie delta"), (2, "bravo charlie"), (3, "echo"), (4, "alpha bravo charlie delta echo"), (5, "bravo, Charlie!"), (6, "zulu"), (6, "yankee zulu")]
+    words, rng = "alpha bravo charlie delta echo fox golf".split(), random.Random(2)
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    docs += [(100, "so alpha bravo charlie delta echo and more words"), (101, "Bravo."), (102, None), (103, ""), (104, "a yankee zulu"), (105, f"{LONG} bravo charlie")]
+    got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    want = brute_leaks(docs, items[:5] + [(60, "zulu"), (61, "yankee zulu")])
+    assert len(got) == len(set(got)) and set(got) == {(d, 6 if i > 9 else i) for d, i in want} and {(100, 1), (100, 4), (105, 2), (104, 6)} <= set(got)
 
 
 def test_leaks_of_items_that_share_a_template(spark):
@@ -362,6 +374,25 @@ def test_warc_foreign_and_empty(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_append_and_overwrite(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    page = lambda i: spark.createDataFrame([(i, "u", f"page {i}")], "page_id long, url string, html string")
+    ids = lambda: sorted(r.record_id for r in warc.read_warc(spark, path).collect())
+    warc.archive_pages(page(1), path)
+    warc.archive_pages(page(2), path)
+    assert ids() == ["urn:page:1", "urn:page:2"]
+    warc.archive_pages(page(3), path, mode="overwrite")
+    assert ids() == ["urn:page:3"] and len([f for f in os.listdir(path) if f.endswith(".warc.gz")]) == 1
+    broken = page(4).select("page_id", "url", F.expr("CASE WHEN page_id = 4 THEN string(raise_error('no')) END").alias("html"))
+    with pytest.raises(Exception, match="no"):
+        warc.archive_pages(broken, path)
+    assert ids() == ["urn:page:3"]
+    warc.archive_pages(page(1).limit(0), path)
+    assert ids() == ["urn:page:3"]
+    warc.archive_pages(page(1).limit(0), path, mode="overwrite")
+    assert ids() == []
+
+
 def test_warc_cut_off(tmp_path):
     import gzip
 
@@ -462,6 +493,19 @@ def test_grammar_weighs_clauses():
     assert score("A clean sentence. Nothing here.") == 0 and score("I will kill time") == 0 < score("they kill you")
 
 
+def test_long_clause_and_long_white_space_take_linear_time():
+    g = toxicity.Grammar({"bad": 2.0})
+    began = time.time()
+    assert g.clause(["bad"] * 100_000)[0] == pytest.approx(200_000.0)
+    assert time.time() - began < 3
+    e, text = bpe.encoder(RANKS), "a " + " \n" * 20_000 + " b"
+    began = time.time()
+    counts = e.prefix_counts(text)
+    assert time.time() - began < 3 and len(counts) == len(text) + 1 and counts[-1] == e.count(text)
+    for i in (0, 1, 2, 3, 4, 5, 99, 1000, 1001, len(text) - 1):
+        assert counts[i] == len(e.encode(text[:i]))
+
+
 def test_composed_machine_equals_plain_reading():
     """The best path of the composed transducers against a direct reading of the rules."""
     s = toxicity.Settings()

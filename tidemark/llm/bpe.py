@@ -31,7 +31,7 @@ from tidemark.llm.batches import with_arrow
 MOST_PIECES, MOST_PAIRS = 200_000, 1_000_000
 
 
-_SPACE = regex.compile(r"\s")
+_SPACE = regex.compile(r"\s+")
 
 
 class _Pieces(dict):
@@ -65,7 +65,7 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         self.tokens = {b.decode("latin-1"): i for b, i in ranks.items() if len(b) == 1 or self.merge(b) == [i]}  # others can only be whole pieces
-        self.longest = max(map(len, self.tokens))
+        self.longest, self.longest_rank = max(map(len, self.tokens)), max(map(len, ranks))
         for b, i in self.tokens.items():
             self.automaton.add_word(b, (i, len(b)))
         self.automaton.make_automaton()
@@ -176,7 +176,7 @@ class Encoder:
 
         Inside a piece the counts of its prefixes are added to those of the pieces before. Where a cut changes how the
         text before it is split, that part is split again: white space that a cut leaves at the end is one piece, a
-        contraction or a special string that is cut falls apart.
+        contraction or a special string that is cut falls apart. The time is linear in the text's length.
         """
         counts, done, before = [0], 0, ""
         for part, special in self.segments(text):
@@ -185,22 +185,33 @@ class Encoder:
                 counts += [base + self.plain(before + part[:i]) for i in range(1, len(part))] + [done + 1]
                 done += 1
                 continue
-            space, space_count, before = "", 0, part
+            run, base, begin, before = None, 0, 0, part
             for piece in self.pattern.findall(part):
                 inner = self.prefix_counts_of_piece(piece.encode())
                 for i, byte in enumerate(accumulate(len(c.encode()) for c in piece), 1):
-                    if _SPACE.match(piece[i - 1]):
-                        space_count = space_count if space else counts[-1]
-                        space += piece[i - 1]
-                        counts.append(space_count + self.counts[space])
-                    else:
-                        space = ""
+                    space = _SPACE.match(part, begin + i - 1) if run is None else _SPACE.match(piece[i - 1])
+                    if not space:
+                        run = None
                         counts.append(done + (self.plain(piece[:i]) if piece[0] == "'" and i < len(piece) else inner[byte]))
+                        continue
+                    if run is None:
+                        run, base = iter(self._run_counts(space[0])), counts[-1]
+                    counts.append(base + next(run))
                 done += inner[-1]
-            if space:
+                begin += len(piece)
+            if run is not None:
                 counts[-1] = done
         return counts
 
+    def _run_counts(self, space: str) -> list[int]:
+        """Number of tokens of each prefix of a run of white space, from its first character on, each as one piece."""
+        b = space.encode()
+        counts = self.prefix_counts_of_piece(b)
+        for end in range(1, min(len(b), self.longest_rank) + 1):
+            if b[:end] in self.ranks:  # also tokens that merges don't lead to
+                counts[end] = 1
+        return [counts[end] for end in accumulate(len(c.encode()) for c in space)]
+
     def plain(self, text: str) -> int:
         return sum(self.counts[p] for p in self.pattern.findall(text))
 

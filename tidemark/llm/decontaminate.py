@@ -1,7 +1,7 @@
 """Benchmark decontamination: documents that hold a passage like a benchmark item.
 
 An item of n words is compared with the windows of n words of every text (a window at the end may be shorter). Both are
-sets of shingles of five words; a shingle's weight is one over the number of items it occurs in, one if in none. Their
+sets of shingles of five words, or of n where an item has fewer; a shingle's weight is one over the number of items it occurs in, one if in none. Their
 similarity is the weight that both have over the weight of the heavier one.
 
 1. One scan of the texts keeps those that have a shingle of some item, told by a set of hash bits, as shingle hashes.
@@ -17,11 +17,11 @@ Nothing of the benchmark but the set of bits is brought to the driver, and texts
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,12 +191,31 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """(key, item, similarity, first_word, n_words): a row for each document id and benchmark item found in it.
 
     The best window is given, the first of equals, by its first word (from 0) and the item's number of words. Words are
-    runs of letters and digits, A-Z folded to a-z. An item or text of fewer than five words counts as one shingle, so
-    it is only found as a whole. Null, empty and wordless texts and items match nothing, nor do null ids of either.
+    runs of letters and digits, A-Z folded to a-z. An item of fewer than five words is one shingle of its length, which is
+    found anywhere in a text; a text of fewer words than an item's shingles have is one shingle. Null, empty and wordless texts and items match nothing, nor do null ids of either.
     Documents or items that share an id are one, whose best window counts; of repeated rows there is one.
     """
     s = settings
     weighed, known = _items(items, item, item_text, s)
+    lengths = weighed.agg(F.collect_set(F.least("n", F.lit(s.shingle)))).first()[0] or [s.shingle]  # at most s.shingle numbers
+    named = None
+    for k in sorted(lengths):  # texts are cut into shingles of each length that items have: one scan each
+        part = _leaks(docs, weighed.where(F.least("n", F.lit(s.shingle)) == k), known, key, text, replace(s, shingle=k))
+        named = part if named is None else named.unionByName(part)
+    best = F.max_by(F.struct("similarity", "first_word", "n_words"), F.struct("similarity", -F.col("first_word"))).alias("best")
+    named = named.groupBy("d", "item").agg(best)
+    return named.select(F.col("d").alias(key), F.col("item").alias(item), "best.similarity", "best.first_word", "best.n_words")
+
+
+def _below(places, x) -> Column:
+    """How many of the ascending places are below x, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(31))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(places, at + step - 1) < x, at + step).otherwise(at))
+
+
+def _leaks(docs: DataFrame, weighed: DataFrame, known: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
+    """(d, item, similarity, first_word, n_words), perhaps several a document and item: of items whose shingles have
+    s.shingle words."""
     hits = settle(_hits(docs, key, text, known, s), "hits")
     texts = hits.dropDuplicates(["u1", "u2"]).select("u1", "u2", "h", "hits")
     places = texts.select("u1", "u2", F.explode(F.transform("hits", lambda p: F.struct(p.alias("p"), F.get("h", p).alias("s")))).alias("x")).select("u1", "u2", "x.*")
@@ -204,16 +223,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     # an item's stretches of n words with a heavy shingle; windows that have it start in this stretch or the one before
     heavy = weighed.select("item", "n", F.explode("heavy").alias("s")).distinct()
     spots = places.join(heavy, "s").select("u1", "u2", "item", "n", F.floor(F.col("p") / F.col("n")).cast("int").alias("b")).distinct()
-    spots = settle(spots.withColumn("start", F.greatest(F.lit(0), (F.col("b") - 1) * F.col("n"))).withColumn("end", (F.col("b") + 2) * F.col("n")), "spots")
+    start, end = F.greatest(F.lit(0), (F.col("b") - 1) * F.col("n")), (F.col("b") + 2) * F.col("n")
+    spots = spots.select("u1", "u2", F.struct("item", "n", start.alias("start"), end.alias("end"), ((F.col("b") + 1) * F.col("n") - start).alias("starts")).alias("spot"))
+    spots = settle(spots.groupBy("u1", "u2").agg(F.collect_list("spot").alias("spots")), "spots")  # as many as three times the text's words for each item
     weights = places.groupBy("u1", "u2").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("known"))  # as many as the text has words
-    rows = spots.join(texts.select("u1", "u2", "h").join(weights, ["u1", "u2"]), ["u1", "u2"])
-    rows = rows.withColumns({"h": F.slice("h", F.col("start") + 1, F.col("end") - F.col("start")), "known": F.filter("known", lambda k: (k["p"] >= F.col("start")) & (k["p"] < F.col("end")))})
-    rows = rows.select("u1", "u2", "item", "n", "start", ((F.col("b") + 1) * F.col("n") - F.col("start")).alias("starts"), "h", F.col("known.p").alias("places"), F.col("known.w").alias("of"))
-    found = _found(rows.join(weighed.select("item", "n", "x", "w"), ["item", "n"]), s)
-    found = settle(found, "found")
-    best = F.max_by(F.struct("similarity", "first_word", "n_words"), F.struct("similarity", -F.col("first_word"))).alias("best")
-    named = hits.select("d", "u1", "u2").join(found, ["u1", "u2"]).groupBy("d", "item").agg(best)
-    return named.select(F.col("d").alias(key), F.col("item").alias(item), "best.similarity", "best.first_word", "best.n_words")
+    rows = texts.select("u1", "u2", "h").join(spots, ["u1", "u2"]).join(weights, ["u1", "u2"]).select("*", F.col("known.p").alias("p"))
+    rows = rows.select("u1", "u2", "h", "known", "p", F.explode("spots").alias("spot"))  # only the cut is carried on to the join
+    low, high = _below(F.col("p"), F.col("spot.start")), _below(F.col("p"), F.col("spot.end"))
+    of, h = F.slice("known", low + 1, high - low), F.slice("h", F.col("spot.start") + 1, F.col("spot.end") - F.col("spot.start"))
+    rows = rows.select("u1", "u2", "spot.item", "spot.n", "spot.start", "spot.starts", h.alias("h"), of.alias("of")).withColumns({"places": F.col("of.p"), "of": F.col("of.w")})
+    found = settle(_found(rows.join(weighed.select("item", "n", "x", "w"), ["item", "n"]), s), "found")
+    return hits.select("d", "u1", "u2").join(found, ["u1", "u2"]).drop("u1", "u2")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

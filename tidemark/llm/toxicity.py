@@ -14,6 +14,9 @@ and beginnings of words that are much more frequent in toxic texts; the others a
 an insult (or, for threats, with a target) changes the odds that the text is toxic, beside short lists of words known to
 belong to them. How much each mark counts is learned too: a text's score is a logistic function of its strongest clause,
 of the sum of its clauses, of that sum's share of the text, and of the sums under each mark.
+
+Where labelled texts hold few negated, reported or aimed insults, as the given ones do, the insults decide almost alone,
+and the grammar amounts to an insult lexicon: the README has the figures of leaving its marks out.
 """
 
 from __future__ import annotations
@@ -160,21 +163,18 @@ class Grammar:
 
     def clause(self, words: list[str]) -> tuple[float, list[float]]:
         """Weight of the clause's best path, and what insults and threats weigh under each mark on it."""
-        paths = {x: (0.0, ()) for x in self.starts}
+        none = (0.0,) * len(MARKS)
+        paths = {x: (0.0, none) for x in self.starts}
         for c, w in [*map(self.read, words), (_END, 0.0)]:
             after: dict = {}
-            for state, (total, got) in paths.items():
+            for state, (total, sums) in paths.items():
                 for to, factor, marks, match in self.arcs[state][c]:
                     value = total + w * factor
                     if to not in after or value > after[to][0]:
-                        after[to] = value, (*got, (marks, w)) if match else got
+                        after[to] = value, tuple(x + w if i in marks else x for i, x in enumerate(sums)) if match else sums
             paths = after
-        total, got = max((p for x, p in paths.items() if x in self.finals), default=(0.0, ()))
-        sums = [0.0] * len(MARKS)
-        for marks, w in got:
-            for m in marks:
-                sums[m] += w
-        return total, sums
+        total, sums = max((p for x, p in paths.items() if x in self.finals), default=(0.0, none))
+        return total, list(sums)
 
     def measures(self, text: str) -> tuple[float, ...]:
         """Strongest clause, sum of clauses, the sum's share of the text's words, and sums under each mark; only clauses

@@ -33,7 +33,7 @@ SCHEMA = "record_type string, record_id string, target_uri string, refers_to str
 _HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length"}
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"  # one file of such a name for each write
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -99,11 +99,24 @@ class _Part(InputPartition):
     end: int | None
 
 
+def _manifests(where: fs.FileSystem, root: str) -> dict[str, dict]:
+    """The manifests of an archive that no other one replaces, by name."""
+    found = {}
+    for x in where.get_file_info(fs.FileSelector(root)):
+        if x.base_name.startswith(f"{MANIFEST}-") and x.base_name.endswith(".json"):
+            with where.open_input_stream(x.path) as f:
+                found[x.base_name] = json.loads(f.read())
+    gone = {n for x in found.values() for n in x["replaces"]}
+    return {n: x for n, x in sorted(found.items()) if n not in gone}
+
+
 class _Writer(DataSourceArrowWriter):
-    """A task writes its rows to files of its own; only those that the manifest names, at the end, belong to the archive."""
+    """A task writes its rows to files of its own; only those that a manifest names belong to the archive. A write adds one
+    manifest when all its tasks have ended. One that overwrites names the manifests that it replaces: they count no more
+    from the moment on that the new one is there, and are then deleted with their files."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.file_bytes = int(options.get("filebytes", 1 << 30))
         self.split_bytes = int(options.get("splitbytes", 16 << 20))
 
@@ -132,8 +145,16 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[_Written | None]) -> None:
         where, root = filesystem(self.path)
         where.create_dir(root, recursive=True)
-        with where.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        old = _manifests(where, root) if self.overwrite else {}
+        name = f"{MANIFEST}-{uuid.uuid4().hex}.json"
+        made = {"files": [x for m in messages if m for x in m.files], "replaces": sorted(old)}
+        with where.open_output_stream(f"{root}/{name}.tmp") as f:
+            f.write(json.dumps(made).encode())
+        where.move(f"{root}/{name}.tmp", f"{root}/{name}")
+        for gone, x in old.items():
+            where.delete_file(f"{root}/{gone}")
+            for file in x["files"]:
+                where.delete_file(f"{root}/{file['name']}")
 
     def abort(self, messages: list[_Written | None]) -> None:
         where, root = filesystem(self.path)
@@ -171,9 +192,9 @@ class _Reader(DataSourceReader):
             raise FileNotFoundError(self.path)
         if info.type == fs.FileType.File:
             return [_Part(root, 0, None)]
-        if where.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with where.open_input_stream(f"{root}/{MANIFEST}") as f:
-                listed = json.loads(f.read())
+        manifests = _manifests(where, root)
+        if manifests:
+            listed = [x for m in manifests.values() for x in m["files"]]
             return [_Part(f"{root}/{x['name']}", a, b) for x in listed for a, b in zip(x["splits"], [*x["splits"][1:], x["bytes"]], strict=True)] or [_Part("", 0, 0)]
         found = [x.path for x in where.get_file_info(fs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
         return [_Part(x, 0, None) for x in sorted(found)] or [_Part("", 0, 0)]
@@ -320,18 +341,20 @@ class WarcSource(DataSource):
         return _Reader(self.options, schema)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of a file or folder. Without payload no block is decoded."""
+    """Records of a file or folder. Without payload no block is decoded. Turns on spark.sql.python.filterPushdown.enabled
+    for the session, without which filters aren't taken over."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> None:
-    """Write one record per page to a new archive at path.
+def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, mode: str = "append") -> None:
+    """Write one record per page to the archive at path: beside the records that it has, or with mode overwrite in their
+    place. Pages of different writes aren't compared.
 
     Of pages with equal payloads of at least least_bytes bytes the one with the smallest key is a response, the others
     revisit it; all smaller ones are responses. A null html is an empty payload. Pages without a key get records of
@@ -351,7 +374,7 @@ def archive_pages(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.when(revisit, name("first")).alias("refers_to"), "digest", "payload_length", F.when(~revisit, F.col("payload")).alias("payload"),
     )
     spark.dataSource.register(WarcSource)
-    rows.write.format("warc").mode("append").save(path)
+    rows.write.format("warc").mode(mode).save(path)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
