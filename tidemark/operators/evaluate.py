@@ -58,3 +58,20 @@ def residual_histogram(df: DataFrame, y: str = "y", p: str = "p", bins: int = 60
         return df.select(F.lit(1).alias("bin"), F.lit(0).cast("long").alias("n")).limit(0)
     bin_ = F.least(F.floor((d - lo) / ((hi - lo) or 1.0) * bins).cast("int") + 1, F.lit(bins))
     return df.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def pair_density(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """How many rows have an actual and a predicted value in each cell of a grid, with the least and largest of both.
+
+    Cells are fixed: 0 holds what is below 1, and each doubling is cut into four, so one aggregation finds the counts and
+    the ranges, and densities of parts of the data add up. At most about 250 cells a side; rows with a null aren't counted.
+    """
+
+    def cell(x):
+        whole = F.greatest(F.floor(x), F.lit(1)).cast("long")
+        power = F.length(F.bin(whole)) - 1
+        return F.when(x < 1, 0).otherwise(4 * power + F.floor((x / F.pow(F.lit(2.0), power) - 1) * 4) + 1).cast("int")
+
+    rows = df.select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p")).where("y is not null and p is not null")
+    ranges = [f(c).alias(f"{n}_{c}") for c in ("y", "p") for n, f in (("least", F.min), ("largest", F.max))]
+    return rows.groupBy(cell(F.col("y")).alias("y_cell"), cell(F.col("p")).alias("p_cell")).agg(F.count("*").alias("n"), *ranges)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TxnConfig
+from tidemark.operators import boost, tuning
 from tidemark.operators.matrix import filled
 from tidemark.sources.shared import settle
 
@@ -96,8 +97,20 @@ def _fold_loop(rows: DataFrame, folds: int, train, predict, out: str, keep: Sequ
     return made
 
 
-def train_activity(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig) -> FoldModels:
-    """Q3: probability of a positive count; positives weigh as much together as negatives. out_of_fold has p_active, auc by fold."""
+def _boosted(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, params: boost.Params, out: str, y: str, keep: Sequence[str]) -> FoldModels:
+    """Boosted trees of all folds, trained in the same passes."""
+    models = boost.fit(boost.bin_rows(matrix, columns, cfg.customer, y), [boost.Spec(k, params) for k in range(1, cfg.folds + 1)])
+    oof = boost.predict_by_fold(models, matrix.where(F.col("fold") > 0), out).select(*keep, out)
+    return FoldModels(models, lambda m, rows, name: m.predict(rows, name), oof)
+
+
+def train_activity(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, kind: str = "trees", params: boost.Params | None = None) -> FoldModels:
+    """Q3: probability of a positive count; positives weigh as much together as negatives, and predictions take that back.
+    Kind `trees`: boosted trees with logistic loss, kind `linear`: logistic regression, whose predictions keep the weights.
+    out_of_fold has p_active, auc by fold."""
+    keep = [cfg.customer, "fold", "y", "active"]
+    if kind == "trees":
+        return _boosted(matrix, columns, cfg, params or boost.Params(loss="logistic", depth=4, seed=cfg.seed), "p_active", "active", keep)
     rows = settle(_vectors(matrix, columns), "vectors")
 
     def train(part: DataFrame, valid: DataFrame):
@@ -109,7 +122,7 @@ def train_activity(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig) ->
     def predict(m, part: DataFrame, out: str) -> DataFrame:
         return m.transform(part).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
-    return _fold_loop(rows, cfg.folds, train, predict, "p_active", [cfg.customer, "fold", "y", "active"])
+    return _fold_loop(rows, cfg.folds, train, predict, "p_active", keep)
 
 
 @dataclass
@@ -161,10 +174,17 @@ def auc(scored: DataFrame) -> float:
     return BinaryClassificationEvaluator(rawPredictionCol="p_active", labelCol="active").evaluate(scored.withColumn("active", F.col("active").cast("double")))
 
 
+#: How the two learners of counts differ.
+GROWTH = {"xgb": {"growth": "depth", "depth": 6, "least_weight": 3.0}, "lgb": {"growth": "leaf", "leaves": 31, "least_weight": 1e-3, "least_rows": 20}}
+
+
 def train_counts(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, kind: str, params: dict | None = None) -> FoldModels:
-    """Q4: expected counts, floored at 0, with Poisson loss. Kind `trees`: boosted trees that stop early by the fold they are
-    validated on; kind `glm`: regression with logarithmic link on scaled columns. Kind `gbt`: Spark's boosted trees on
+    """Q4: expected counts, floored at 0, with Poisson loss. Kinds `xgb` and `lgb`: boosted trees from histograms, grown level
+    by level or the best leaf first, with row and column samples and regularised leaves; params are those of boost.Params.
+    Kind `trees`: Spark's decision trees, boosted. All stop early by the fold they are validated on. Kind `glm`: regression with logarithmic link on scaled columns. Kind `gbt`: Spark's boosted trees on
     log1p of the count, which also stop early."""
+    if kind in GROWTH:
+        return _boosted(matrix, columns, cfg, boost.Params(**{**GROWTH[kind], "seed": cfg.seed, **(params or {})}), "p", "y", [cfg.customer, "fold", "y"])
     rows = settle(_vectors(matrix, columns).withColumn("log_y", F.log1p("y")), "vectors")
     floored = lambda x, out, p: x.withColumn(out, F.greatest(p, F.lit(0.0))).drop("prediction")
     if kind == "glm":
@@ -184,15 +204,24 @@ def train_counts(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, kind
     return _fold_loop(rows, cfg.folds, train, predict, "p", [cfg.customer, "fold", "y"])
 
 
-def tune(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, kind: str, grid: Iterable[dict]) -> tuple[dict, list[tuple[dict, float]]]:
-    """Q5: the parameters with the least mean over folds of RMSLE, and all of them with theirs."""
-    from tidemark.operators.evaluate import errors
+#: Settings that are searched, as ranges of boost.Params.
+SPACE = {
+    "rate": tuning.Range(0.05, 0.4, log=True), "least_weight": tuning.Range(1.0, 15.0), "rows": tuning.Range(0.6, 1.0), "columns": tuning.Range(0.5, 1.0),
+    "l1": tuning.Range(1e-4, 5.0, log=True), "l2": tuning.Range(0.5, 5.0, log=True),
+}
+GROWN = {"xgb": {"depth": tuning.Range(3, 8, whole=True)}, "lgb": {"leaves": tuning.Range(7, 63, whole=True), "least_rows": tuning.Range(5, 50, whole=True)}}
+
+
+def tune(matrix: DataFrame, columns: Sequence[str], cfg: TxnConfig, kind: str, trials: int = 50, rounds: int = 30, together: int = 4) -> tuple[dict, list[tuning.Trial]]:
+    """Q5: the settings of learner `kind` with the least mean over folds of RMSLE, and all trials. Trials are scored fold by
+    fold and may be given up after each; several are trained in the same passes."""
+    table = boost.bin_rows(matrix, columns, cfg.customer, "y")
+
+    def score(settings: list[dict], fold: int) -> list[float]:
+        specs = [boost.Spec(fold, boost.Params(**{**GROWTH[kind], "seed": cfg.seed, "rounds": rounds, **s})) for s in settings]
+        return [math.inf if e is None else e for e in boost.log_errors(table, specs, boost.fit(table, specs))]
 
-    tried = []
-    for params in grid:
-        oof = train_counts(matrix, columns, cfg, kind, params).out_of_fold
-        tried.append((params, errors(oof, "y", "p", by="fold").agg(F.avg("rmsle")).first()[0]))
-    return min(tried, key=lambda t: t[1])[0], tried
+    return tuning.search(score, SPACE | GROWN[kind], trials, cfg.folds, cfg.seed, together)
 
 
 def blend(df: DataFrame, models: dict[str, Sequence[str]], cfg: TxnConfig, active: Sequence[str] = ()) -> DataFrame:
@@ -228,6 +257,6 @@ def importances(models: dict[str, Sequence], columns: Sequence[str], spark) -> D
 
 
 def _importance(m, n: int):
-    if isinstance(m, PoissonTrees):
+    if isinstance(m, PoissonTrees | boost.Boosted):
         return m.importances if m.trees else np.zeros(n)
     return m.featureImportances.toArray() if hasattr(m, "featureImportances") else abs(m.coefficients.toArray())

@@ -386,9 +386,12 @@ def _(s, d):
     return fitted.out_of_fold.select(ID, "fold", "active", "p_active")
 
 
+BOOSTED = {"rounds": 15, "patience": 3}
+
+
 def _counted(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, model.FoldModels]]:
     rows = settle(model.model_matrix(_folded(s, d), FEATURES, CFG), "matrix")
-    return rows, {"xgb": model.train_counts(rows, FEATURES, CFG, "trees"), "lgb": model.train_counts(rows, FEATURES, CFG, "glm")}
+    return rows, {k: model.train_counts(rows, FEATURES, CFG, k, BOOSTED) for k in ("xgb", "lgb")}
 
 
 @query("count_models")
@@ -404,9 +407,24 @@ def _(s, d):
 
 @query("tuning")
 def _(s, d):
+    """All trials of a search over the settings of the level-wise learner."""
     rows = settle(model.model_matrix(_folded(s, d), FEATURES, CFG), "matrix")
-    _, tried = model.tune(rows, FEATURES, CFG, "glm", [{"regParam": x} for x in (0.01, 1.0)])
-    return s.createDataFrame([(p["regParam"], e) for p, e in tried], "reg_param double, rmsle double")
+    best, tried = model.tune(rows, FEATURES, CFG, "xgb", trials=8, rounds=6)
+    data = [(t.number, len(t.scores), t.mean, t.given_up, t.settings == best, *[float(t.settings[k]) for k in sorted(t.settings)]) for t in tried]  # a row for each trial
+    return s.createDataFrame(data, "trial int, folds int, rmsle double, given_up boolean, best boolean, " + ", ".join(f"{k} double" for k in sorted(best)))
+
+
+@query("poisson_trees")
+def _(s, d):
+    """Out-of-fold errors of Spark's decision trees, boosted, and of the Poisson regression."""
+    rows = settle(model.model_matrix(_folded(s, d), FEATURES, CFG), "matrix")
+    return evaluate.cv_table(*[model.train_counts(rows, FEATURES, CFG, k).out_of_fold for k in ("trees", "glm")])
+
+
+@query("activity_linear")
+def _(s, d):
+    fitted = model.train_activity(model.model_matrix(_folded(s, d), FEATURES, CFG), FEATURES, CFG, "linear")
+    return fitted.out_of_fold.select(ID, "fold", "active", "p_active")
 
 
 @query("predict_test")
@@ -425,7 +443,7 @@ def _(s, d):
     by = "hist_months_active"
     train = features.where("split = 'train'").withColumn(by, F.coalesce(by, F.lit(0))) if by in names else features.where("split = 'train'").withColumn(by, F.lit(0))
     rows = settle(model.model_matrix(model.assign_folds(train, CFG), names, CFG), "folds")
-    models = {"xgb": model.train_counts(rows, names, CFG, "trees"), "lgb": model.train_counts(rows, names, CFG, "glm", {"regParam": 1.0})}
+    models = {k: model.train_counts(rows, names, CFG, k, BOOSTED) for k in ("xgb", "lgb")}
     activity = model.train_activity(rows, names, CFG)
     found = model.predict_ensemble(models, model.model_matrix(features.where("split = 'test'"), names, CFG), names, CFG, activity)
     preds = found.select(ID, F.col("prediction").alias(io.RAW), F.log1p("prediction").alias(io.LOG))
@@ -446,6 +464,11 @@ def _(s, d):
     return evaluate.out_of_fold(_oof(s, d))
 
 
+@query("actual_predicted")
+def _(s, d):
+    return evaluate.pair_density(_oof(s, d).where("fold > 0"))
+
+
 @query("residual_hist")
 def _(s, d):
     return evaluate.residual_histogram(_oof(s, d))

@@ -178,6 +178,8 @@ oof AS (SELECT t.c, y, coalesce(n, 0) AS p, CAST(k >= floor(m * 0.5) AS INT) + C
 _err = f"{i('count(*)', 'n')}, {d('sqrt(avg(pow(ln(1 + y) - ln(1 + greatest(p, 0)), 2)))', 'rmsle')}, {d('sqrt(avg(pow(y - p, 2)))', 'rmse')}, {d('avg(abs(y - p))', 'mae')}"
 ORACLES["oof_eval"] = _with(OOF, f"SELECT {i('fold', 'fold')}, {_err} FROM oof WHERE fold > 0 GROUP BY fold UNION ALL SELECT NULL, {_err} FROM oof WHERE fold > 0")
 ORACLES["residual_hist"] = _with(OOF, f"SELECT {i('least(floor((CAST(y - p AS DOUBLE) - lo) / (hi - lo) * 60) + 1, 60)', 'bin')}, {i('count(*)', 'n')} FROM oof, (SELECT CAST(min(y - p) AS DOUBLE) AS lo, CAST(max(y - p) AS DOUBLE) AS hi FROM oof) GROUP BY 1")
+_cell = lambda x: f"CASE WHEN {x} < 1 THEN 0 ELSE 4 * (length(bin(CAST(floor({x}) AS BIGINT))) - 1) + floor(({x} / pow(2, length(bin(CAST(floor({x}) AS BIGINT))) - 1) - 1) * 4) + 1 END"
+ORACLES["actual_predicted"] = _with(OOF, f"SELECT {i(_cell('y'), 'y_cell')}, {i(_cell('p'), 'p_cell')}, {i('count(*)', 'n')}, {d('min(y)', 'least_y')}, {d('max(y)', 'largest_y')}, {d('min(p)', 'least_p')}, {d('max(p)', 'largest_p')} FROM oof WHERE fold > 0 GROUP BY 1, 2")
 ORACLES["risk_bands"] = _with(PRED, f"SELECT {i('c', 'customer_id')}, {d('p', 'predicted_next_3m_txn_count_raw')}, flag AS risk_flag FROM band")
 ORACLES["risk_terciles"] = _with(PRED, f"SELECT {i('c', 'customer_id')}, CASE WHEN p <= (SELECT quantile_cont(p, 0.33) FROM pred) THEN 'Dormant' WHEN p <= (SELECT quantile_cont(p, 0.66) FROM pred) THEN 'At Risk' ELSE 'Active' END AS risk_flag FROM pred")
 ORACLES["portfolio"] = _with(PRED, f"SELECT flag AS risk_flag, {i('count(*)', 'customers')}, {d('count(*) / (SELECT count(*) FROM band)', 'share')} FROM band GROUP BY flag")
