@@ -42,11 +42,9 @@ def in_cohort(cfg: TxnConfig, percent: int = 30):
 
 
 def feature_groups(txn: DataFrame, cfg: TxnConfig) -> tuple[DataFrame, list[DataFrame]]:
-    """Customer aggregates and the other groups of a cleaned, enriched transaction table, all keyed by customer. The
-    monthly table, of which four groups are made, is settled."""
-    base = monthly.customer_aggregates(settle_by(monthly.monthly_table(txn, cfg), cfg.customer, "monthly"), cfg)
-    groups = [f(txn, cfg) for f in (rowlevel.velocity, rowlevel.decay, rowlevel.debit_credit, rowlevel.recency, rowlevel.amounts, categories.category_features)]
-    return base, groups + ([rowlevel.balance(txn, cfg)] if cfg.balance else [])
+    """Customer aggregates of the monthly table, and the other groups, of a cleaned, enriched transaction table that is dealt
+    out by customer: one aggregation by month, one by customer, and one of categories, each over the columns it needs."""
+    return monthly.customer_aggregates(monthly.monthly_table(txn, cfg), cfg), [rowlevel.features(txn, cfg), categories.category_features(txn, cfg)]
 
 
 def assemble(txn: DataFrame, snapshots: DataFrame | None, demographics: DataFrame | None, labels: DataFrame, test_ids: DataFrame, cfg: TxnConfig, as_of_filter: bool = False, fitted: bool = True) -> DataFrame:

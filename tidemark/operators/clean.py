@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEBIT_TOKENS, TxnConfig
-from tidemark.functions import percentile
+from tidemark.functions.quantiles import percentiles
 
 
 def to_time(df: DataFrame, name: str) -> Column:
@@ -60,8 +60,8 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls become the column's exact median; a column without values stays null."""
     if not columns:
         return df
-    medians = df.agg(*[percentile(c, 0.5).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c]).cast("double")) for c in columns})
+    medians = [q and q[0] for q in percentiles(df, [F.col(f"`{c}`") for c in columns], [0.5])]
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m).cast("double")) for c, m in zip(columns, medians, strict=True)})
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:

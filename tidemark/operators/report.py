@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import TxnConfig
-from tidemark.functions import percentile
+from tidemark.functions.quantiles import percentiles
 from tidemark.operators.model import global_rank
 
 RAW = "predicted_next_3m_txn_count_raw"
@@ -26,7 +26,7 @@ def risk_bands(preds: DataFrame, low: float = 50, high: float = 145) -> DataFram
 
 def risk_terciles(preds: DataFrame, cfg: TxnConfig) -> DataFrame:
     """Bands at the 33rd and 66th percentiles; if those are equal, thirds by rank, ties by customer."""
-    low, high = preds.agg(percentile(RAW, 0.33), percentile(RAW, 0.66)).first()
+    low, high = percentiles(preds, [F.col(RAW)], [0.33, 0.66])[0] or (None, None)
     if low is None or low < high:
         return risk_bands(preds, low, high)
     n = preds.count()
@@ -43,7 +43,8 @@ def portfolio(banded: DataFrame) -> DataFrame:
 
 def histogram(preds: DataFrame, bins: int = 40, exact: bool = True) -> DataFrame:
     """(bin, n, mean) of predictions clipped to [0, 95th percentile]; mean is that of all clipped ones."""
-    top = preds.agg(percentile(RAW, 0.95, exact)).first()[0] or 0.0
+    top = (percentiles(preds, [F.col(RAW)], [0.95])[0] or [None])[0] if exact else preds.agg(F.percentile_approx(RAW, 0.95, 10_000)).first()[0]
+    top = top or 0.0
     x = F.least(F.greatest(F.col(RAW), F.lit(0.0)), F.lit(top))
     clipped = preds.select(x.alias("x"))
     mean = clipped.agg(F.avg("x").alias("mean"))
