@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEBIT_TOKENS, TxnConfig
+from tidemark.functions import pieces
 from tidemark.functions.quantiles import percentiles
+from tidemark.sources.shared import settle
 
 
 def to_time(df: DataFrame, name: str) -> Column:
@@ -38,13 +40,27 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if counts[f"n{i}"]])
 
 
-def fill_snapshots(snap: DataFrame, cfg: TxnConfig, date: str, columns: Sequence[str], tie: str | None = None) -> DataFrame:
-    """Nulls take the customer's last value before, by date (and tie), else the first one after."""
+def fill_snapshots(snap: DataFrame, cfg: TxnConfig, date: str, columns: Sequence[str], tie: str | None = None, cuts: int | None = None) -> DataFrame:
+    """Nulls take the customer's last value before, by date (and tie), else the first one after.
+
+    A customer's rows are worked on in pieces of time (as many as `cuts`): values fill inside a piece, and the last and first
+    ones of other pieces are carried over. Rows of equal date and tie are in any order."""
+    if not columns:
+        return snap
+    rows = settle(pieces.cut(snap, date, cuts), "pieces")  # read once for the ends and once for the values
     order = [F.col(date)] + ([F.col(tie)] if tie else [])
-    w = Window.partitionBy(cfg.customer).orderBy(*order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    fills = {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in columns}
-    return snap.withColumns(fills)
+    w = Window.partitionBy(cfg.customer, pieces.PIECE).orderBy(*order)
+    upto, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    at = F.struct(*order)
+    ends = {f"_{n}{i}": f(F.col(c), F.when(F.col(c).isNotNull(), at)) for i, c in enumerate(columns) for n, f in (("last", F.max_by), ("first", F.min_by))}
+    parts = rows.groupBy(cfg.customer, pieces.PIECE).agg(*[x.alias(n) for n, x in ends.items()])
+    over = lambda n, f: {f"_{n}{i}": f(f"_{n}{i}", ignorenulls=True) for i in range(len(columns))}
+    # the customer is null in both or equal, as it is in a window
+    parts = pieces.carried(parts, cfg.customer, over("last", F.last), over("first", F.first)).withColumnsRenamed({cfg.customer: "_of", pieces.PIECE: "_at"})
+    filled = rows.withColumns({f"_upto{i}": F.last(c, ignorenulls=True).over(upto) for i, c in enumerate(columns)} | {f"_on{i}": F.first(c, ignorenulls=True).over(on) for i, c in enumerate(columns)})
+    joined = filled.join(parts, F.col(cfg.customer).eqNullSafe(F.col("_of")) & (F.col(pieces.PIECE) == F.col("_at")))
+    made = {c: F.coalesce(*[F.col(f"_{n}{i}") for n in ("upto", "last", "on", "first")]) for i, c in enumerate(columns)}
+    return joined.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in snap.columns])
 
 
 def clean_snapshots(snap: DataFrame, cfg: TxnConfig, date: str, tie: str | None = None) -> DataFrame:

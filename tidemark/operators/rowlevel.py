@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import TxnConfig
-from tidemark.functions import percentile, ratio, whole_days
+from tidemark.functions import percentile, pieces, ratio, whole_days
 from tidemark.functions.groups import Group, aggregate
 
 
@@ -106,9 +106,20 @@ def recency_group(cfg: TxnConfig) -> Group:
     return Group({"days_since_last_txn": whole_days(F.max(ts), _cutoff(cfg)), "customer_tenure_days": whole_days(F.min(ts), _cutoff(cfg)), "avg_days_between_txn": F.avg("_gap")})
 
 
-def recency(txn: DataFrame, cfg: TxnConfig) -> DataFrame:
-    """K1, K2: whole days since the last and the first transaction, and mean whole days between transactions."""
-    return aggregate(with_gap(txn.select(cfg.customer, cfg.timestamp), cfg), cfg.customer, [recency_group(cfg)])
+def recency(txn: DataFrame, cfg: TxnConfig, cuts: int | None = None) -> DataFrame:
+    """K1, K2: whole days since the last and the first transaction, and mean whole days between transactions.
+
+    A customer's rows are worked on in pieces of time (as many as `cuts`): gaps inside a piece are added up there, and those
+    between pieces come from their first and last times."""
+    ts = F.col(cfg.timestamp).cast("timestamp_ntz")
+    rows = pieces.cut(txn.select(cfg.customer, cfg.timestamp), cfg.timestamp, cuts).withColumn("_ts", ts)
+    gap = whole_days(F.lag("_ts").over(Window.partitionBy(cfg.customer, pieces.PIECE).orderBy("_ts")), "_ts")
+    parts = rows.withColumn("_gap", gap).groupBy(cfg.customer, pieces.PIECE).agg(F.sum("_gap").alias("_inside"), F.count("*").alias("_n"), F.min("_ts").alias("_first"), F.max("_ts").alias("_last"))
+    parts = pieces.carried(parts, cfg.customer, {"_before": F.last("_last")}, {})
+    total = F.coalesce(F.sum("_inside"), F.lit(0)) + F.coalesce(F.sum(whole_days("_before", "_first")), F.lit(0))
+    return parts.groupBy(cfg.customer).agg(
+        whole_days(F.max("_last"), _cutoff(cfg)).alias("days_since_last_txn"), whole_days(F.min("_first"), _cutoff(cfg)).alias("customer_tenure_days"), (total / F.nullif(F.sum("_n") - 1, F.lit(0))).alias("avg_days_between_txn")
+    )
 
 
 def skew(x: Column) -> Column:
