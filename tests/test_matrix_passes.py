@@ -108,3 +108,50 @@ def test_groups_hide_and_derive(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, -1.0)], "k long, x double")
     g = Group({"s": F.sum(F.when(F.col("x") > 0, F.col("x"))), "n": F.count_if(F.col("x") > 0)}, {"m": F.col("s") / F.col("n")}, seen=F.col("x") > 0, hidden=("s",))
     assert sorted(tuple(r) for r in aggregate(df, "k", [g]).collect()) == [(1, 2, 3.0), (2, None, None)]
+
+
+def _baskets(spark, customers, values, rank, seed):
+    """Long counts of customers who each like one of `rank` groups of values."""
+    rng = np.random.default_rng(seed)
+    likes = rng.integers(0, rank, values)
+    rows = []
+    for c in range(customers):
+        mine = np.flatnonzero(likes == c % rank)
+        for v in set(rng.choice(mine, min(len(mine), 20), replace=False).tolist()) | set(rng.integers(0, values, 3).tolist()):
+            rows.append((c, f"v{v:05d}", int(rng.integers(1, 5))))
+    return spark.createDataFrame(rows, "customer_id long, value string, n long").cache()
+
+
+def _plain_matrix(long):
+    rows = long.toPandas()
+    names = sorted(rows.value.unique())
+    x = np.zeros((rows.customer_id.max() + 1, len(names)))
+    x[rows.customer_id, [names.index(v) for v in rows.value]] = rows.n
+    tf = x / (x.sum(axis=1, keepdims=True) + 1e-9)
+    return tf * np.log(len(x) / ((x > 0).sum(axis=0) + 1.0))
+
+
+@pytest.mark.parametrize("whole", [256, 0])
+def test_axes_equal_svd(spark, whole):
+    """With all values in the block, and by repeated products with fewer columns."""
+    long = _baskets(spark, 120, 90, 5, 3)
+    x = _plain_matrix(long)
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    got = categories.axes(long, CFG, categories.Vocabulary.of(long, CFG), 4, whole=whole, spare=20)
+    assert got.shape == (x.shape[1], 4) and np.allclose(np.linalg.norm(got, axis=0), 1)
+    assert np.linalg.norm(x @ got, axis=0) == pytest.approx(s[:4], rel=1e-6)
+    assert np.abs((got * v[:4].T).sum(axis=0)) == pytest.approx(np.ones(4), abs=1e-4)
+
+
+def test_axes_of_many_values(spark):
+    long = _baskets(spark, 300, 20_000, 6, 8)
+    words = categories.Vocabulary.of(long, CFG)
+    got = categories.axes(long, CFG, words, 5)
+    rows = {v: i for i, v in enumerate(words.values)}
+    packed = long.toPandas()
+    x = np.zeros((300, len(rows)))
+    x[packed.customer_id, [rows[v] for v in packed.value]] = packed.n
+    x = x / (x.sum(axis=1, keepdims=True) + 1e-9) * np.log(300 / (np.array(words.holders) + 1.0))
+    best = np.linalg.svd(x, compute_uv=False)[:5]
+    assert np.linalg.norm(x @ got, axis=0) == pytest.approx(best, rel=1e-3)
+    assert categories.axes(long.limit(0), CFG, categories.Vocabulary.of(long.limit(0), CFG), 5).shape == (0, 0)

@@ -28,8 +28,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def settle_by(df: DataFrame, key: str, name: str) -> DataFrame:
     """As settle, dealt out by key into as many buckets as a shuffle has partitions: grouping by key and joining such
-    tables on it needs no further shuffle."""
+    tables on it needs no further shuffle. The table's name goes from the catalog at once, its files stay."""
     spark, table = df.sparkSession, f"tidemark_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", new_path(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
