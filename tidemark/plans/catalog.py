@@ -352,6 +352,26 @@ def _(s, d):
     return select.target_correlations(_train(s, d), FEATURES, CFG.target)
 
 
+def _whole_train(s: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The matrix of labelled customers, as assemble_groups shows it, and its numeric columns."""
+    rows = settle(QUERIES["assemble_groups"](s, d).where("split = 'train'"), "matrix")
+    return rows, matrix.numeric_columns(rows, [ID, CFG.target])
+
+
+@query("variance_whole")
+def _(s, d):
+    """P1 on every numeric column: logarithms, since variances differ by many orders."""
+    rows, names = _whole_train(s, d)
+    return select.variances(rows, names).select("feature", F.log10(1 + F.coalesce("variance", F.lit(0.0))).alias("log_variance"))
+
+
+@query("target_corr_whole")
+def _(s, d):
+    """P3 on every numeric column."""
+    rows, names = _whole_train(s, d)
+    return select.target_correlations(rows, names, CFG.target)
+
+
 @query("corr_pairs")
 def _(s, d):
     m = select.correlation_matrix(_train(s, d), FEATURES)

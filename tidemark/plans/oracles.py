@@ -221,3 +221,7 @@ ORACLES["assemble_groups"] = _with(
     + ", ".join(f"g_{g} AS ({_as_of(ORACLES[g])})" for g in _GROUPS) + f", g_freq AS ({_freq})",
     "SELECT * FROM ids " + " ".join(f"LEFT JOIN g_{g} USING (customer_id)" for g in (*_GROUPS, "freq")),
 )
+_whole = f"""m AS ({ORACLES["assemble_groups"]}), wide AS (SELECT ln(1 + next_3m_txn_count) AS y, CAST(COLUMNS(* EXCLUDE (customer_id, split, next_3m_txn_count)) AS DOUBLE) FROM m WHERE split = 'train'),
+long AS (SELECT y, feature, coalesce(v, 0) AS v FROM wide UNPIVOT INCLUDE NULLS (v FOR feature IN (COLUMNS(* EXCLUDE (y)))))"""
+ORACLES["variance_whole"] = _with(_whole, f"SELECT feature, {d('log10(1 + coalesce(var_samp(v), 0))', 'log_variance')} FROM long GROUP BY feature")
+ORACLES["target_corr_whole"] = _with(_whole, f"SELECT feature, {d('abs(corr(v, y))', 'corr')} FROM long GROUP BY feature")
