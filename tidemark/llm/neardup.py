@@ -42,7 +42,8 @@ class Settings:
     bits: int = 2  # kept of each minimum
     sigmas: float = 4.5  # deviations by which a true pair's bit count may be off: 3e-6 of the pairs at the least similarity are off by more
     parity_bits: int = 2048  # of each set's parity sketch, a multiple of 64
-    filter_bits: int = 24  # size of the set of hash bits by which texts to be confirmed are told apart
+    least_bits: int = 24  # binary logarithm of the size of the set by which texts to be confirmed are told apart, at least
+    most_bits: int = 30  # and at most; it grows with their number, and beyond, sets are written that aren't needed
 
     @property
     def minima(self) -> int:
@@ -145,13 +146,14 @@ def _may_be_similar(n: Column, parity: Column, m: Column, other: Column, s: Sett
 
 
 def _shingle_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, s: Settings) -> DataFrame:
-    """(id, set) for at least the documents in ids (id). Which texts to read is told from 2**filter_bits bits, whose
-    number doesn't depend on the data; where they leave doubt more sets than needed are made."""
-    mask = (1 << s.filter_bits) - 1
-    slot = F.xxhash64("id").bitwiseAND(F.lit(mask))
+    """(id, set) for at least the documents in ids (id). Which texts to read is told from a set of hash bits, whose
+    size grows with their number; where it leaves doubt more sets than needed are made."""
+    ids = settle(ids, "ids")
+    bits_wanted = max(s.least_bits, min(s.most_bits, (16 * ids.count()).bit_length()))
+    slot = F.xxhash64("id").bitwiseAND(F.lit((1 << bits_wanted) - 1))
     word = ids.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    found = word.toArrow()  # at most 2**(filter_bits - 6) rows
-    bits = np.zeros(1 << (s.filter_bits - 6), np.int64)
+    found = word.toArrow()  # at most 2**(most_bits - 6) rows
+    bits = np.zeros(1 << (bits_wanted - 6), np.int64)
     bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(bits)
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("set", T.ArrayType(T.LongType()))])

@@ -142,9 +142,9 @@ def similar_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = rows.select("id", F.when(good, F.col("label")).alias("label"), F.when(good, F.col("v")).alias("v"))
     rows = rows.withColumn("dim", F.size("v")).withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(1), "v"))
     same = ["label", "dim", "h", "g"]
-    # an id may stand in two classes, so they have numbers of their own
+    # an id may stand in two classes, and hashes of classes may meet, so they get numbers of their own when they are written
     classes = rows.where("v is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = settle(classes.withColumn("node", F.xxhash64(*same)), "classes")
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     k, cuts = s.plan(largest)
 
