@@ -194,7 +194,10 @@ def _near_long(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
     gone = near.select(F.col("at").alias("gone"))
     rest = keys.where(F.col("c").between(3, GROUP)).select("xs", F.explode("xs").alias("x")).join(gone, F.col("x.at") == F.col("gone"), "left_anti")
     pairs = settle(_pairs(rest.select("x", F.explode("xs").alias("y")), per).join(lead, ["at", "earlier"], "left_anti"), "rest")
-    many = settle(keys.where(F.col("c") > GROUP).select("v", F.col("xs")[0].alias("x")), "many")
+    # a large group all of whose members are near its earliest, or gone otherwise, has nothing left to find
+    many = settle(keys.where(F.col("c") > GROUP).select("v", F.col("xs")[0].alias("x"), F.col("y.at").alias("lead")), "all_many")
+    left = many.where(F.col("x.at") != F.col("lead")).join(gone, F.col("x.at") == F.col("gone"), "left_anti").select("v").distinct()
+    many = settle(many.select("v", "x").join(left, "v", "left_semi"), "many")
     for df in (keys, texts, codes):
         drop(df)
     texts, codes = _fetch(lines, _places(pairs).unionByName(many.select("x.at")))
