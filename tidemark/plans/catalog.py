@@ -429,7 +429,7 @@ def _(s, d):
 def _(s, d):
     """All trials of a search over the settings of the level-wise learner."""
     rows = settle(model.model_matrix(_folded(s, d), FEATURES, CFG), "matrix")
-    best, tried = model.tune(rows, FEATURES, CFG, "xgb", trials=8, rounds=6)
+    best, tried = model.tune(rows, FEATURES, CFG, "xgb", trials=8, rounds=2)
     data = [(t.number, len(t.scores), t.mean, t.given_up, t.settings == best, *[float(t.settings[k]) for k in sorted(t.settings)]) for t in tried]  # a row for each trial
     return s.createDataFrame(data, "trial int, folds int, rmsle double, given_up boolean, best boolean, " + ", ".join(f"{k} double" for k in sorted(best)))
 
