@@ -13,9 +13,9 @@ expanded into pairs; each is reduced to its earliest line, which every member is
 
 More edits: the variants with k words removed are too many, so they are cut short. An edit touches at most GRAM of a
 line's runs of GRAM words, so of two like lines with k edits at most k * GRAM runs of either are missing in the other,
-and under any common order of runs their first k * GRAM + 1 share one. These are the keys; the order puts the runs that
-very many lines have last, so that a frequent passage is hardly ever a key. Keys are dealt out once, as hashes of run
-and line, and those of a single line end there. Lines of a group of up to GROUP are compared with its earliest and, if
+and under any common order of runs their first k * GRAM + 1 share one. These are the keys; the order puts rare runs first,
+by a sketch of counts, so that a run of frequent words or a frequent passage is hardly ever a key and groups don't grow
+with the data. Keys are dealt out once, as hashes of run and line, and those of a single line end there. Lines of a group of up to GROUP are compared with its earliest and, if
 that isn't enough, with each other; what is left of larger ones is keyed again, by the k + 1 words of the line that fewest members
 of the group have (an edit touches one word), so that a large group is never expanded into its pairs. Pairs
 whose lengths or word parities are too different are left out, the others verified by the true distance in words.
@@ -34,8 +34,10 @@ MIN_WORDS = 5
 WORDS_PER_EDIT = 10
 #: Words of the runs by which lines with more than one edit are found; at most half of words_per_edit, so that a run is left.
 GRAM = 3
-#: So many runs at most are put last; they are counted in the lines of one of SAMPLE documents, which decides their order alone.
-FREQUENT, SAMPLE = 4096, 64
+#: Runs are counted in the lines of one of SAMPLE documents, which decides their order alone, by hashes of so many bits at most.
+SAMPLE, MOST_COUNT_BITS = 8, 23
+#: A line that makes up more than one of so many rows gives its keys once.
+HOT = 4096
 #: Members of a group that are compared with each other directly.
 GROUP = 256
 #: Bits for each line whose text is looked up, in the set by which texts are told apart before they are shuffled, and bits at most.
@@ -124,18 +126,34 @@ def _texts(lines: DataFrame, some: DataFrame) -> DataFrame:
     return texts.join(some, "at")
 
 
+def _slot(x: Column, slots: Column) -> Column:
+    return F.pmod(F.xxhash64(x), slots).cast("int")
+
+
+def _run_counts(lines: DataFrame, bits: int, q: int) -> Column:
+    """An array of 2**bits bytes: for each hash of a run how often such runs occur in a sample of lines, in steps of a
+    quarter of a power of two. It is a sketch of bounded size, of at most 2**MOST_COUNT_BITS bytes."""
+    sample = lines.where(F.pmod(F.xxhash64("d"), F.lit(SAMPLE)) == 0).select(F.explode(_runs(F.col("line"), q)).alias("x"))
+    found = sample.groupBy(_slot(F.col("x"), F.lit(1 << bits)).alias("i")).agg(F.least(F.lit(126), F.floor(4 * F.log2(F.count("*") + 1))).cast("tinyint").alias("c"))
+    every = lines.sparkSession.range(1 << bits).join(found, F.col("id") == F.col("i"), "left").select("id", F.coalesce("c", F.lit(0).cast("tinyint")).alias("c"))
+    # in two steps, so that what each task sends is a part of the array
+    part = every.groupBy((F.col("id") / 4096).cast("int").alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "c"))), lambda s: s["c"]).alias("part"))
+    held = part.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda s: s["part"])).alias("held"))
+    return settle(held, "counts").scalar()
+
+
 def _shared_runs(lines: DataFrame, unique: DataFrame, per: int, q: int) -> DataFrame:
     """(v, h): the keys that more than one of lines has, and the lines' hashes; all lines have 2 * per words or more."""
-    runs, edits = _runs(F.col("line"), q), F.floor(F.col("n") / per)
-    sample = lines.where(F.pmod(F.xxhash64("d"), F.lit(SAMPLE)) == 0).select(F.explode(runs).alias("x"))
-    found = sample.agg(F.call_function("approx_top_k", F.col("x"), F.lit(FREQUENT), F.lit(4 * FREQUENT)).alias("t")).first()["t"]  # a sketch of fixed size
-    last = [r["item"] for r in found or []]
-    order = lambda x: F.when(x.isin(last), x.bitwiseAND(F.lit(2**63 - 1))).otherwise(x.bitwiseOR(F.lit(-(2**63))))
-    keys = F.slice(F.sort_array(F.transform(runs, order)), 1, (edits * q + 1).cast("int"))
-    # a line that makes up more than one of FREQUENT rows, of which there are fewer than FREQUENT, gives its keys once
-    rows = unique.agg(F.sum("copies")).first()[0] or 0
-    hot = [r["h"] for r in unique.where(F.col("copies") > F.lit(max(100, rows // FREQUENT))).select("h").collect()]
-    emit = lambda some: some.select(F.explode(F.array_distinct(keys)).alias("v"), F.xxhash64("line").alias("h"))
+    edits = F.floor(F.col("n") / per)
+    total = unique.agg(F.sum("copies").alias("rows"), F.sum(F.col("copies") * F.col("n")).alias("words")).first()
+    counts = _run_counts(lines, max(16, min(MOST_COUNT_BITS, ((total["words"] or 0) // (4 * SAMPLE)).bit_length())), q)
+    # eight bits for how frequent the run's slot is, then the run
+    order = lambda held: lambda x: F.call_function("shiftleft", F.get(held, _slot(x, F.size(held))).cast("long"), F.lit(56)).bitwiseOR(x.bitwiseAND(F.lit(2**56 - 1)))
+    ordered = F.transform(F.array("held"), lambda held: F.transform(_runs(F.col("line"), q), order(held)))[0]  # held once, so that it is read in place
+    keys = F.slice(F.sort_array(ordered), 1, (edits * q + 1).cast("int"))
+    # fewer than HOT lines make up more than one of HOT rows each
+    hot = [r["h"] for r in unique.where(F.col("copies") > F.lit(max(100, (total["rows"] or 0) // HOT))).select("h").collect()]
+    emit = lambda some: some.withColumn("held", counts).select(F.array_distinct(keys).alias("vs"), F.xxhash64("line").alias("h")).select(F.explode("vs").alias("v"), "h")
     of = emit(lines.where(~F.xxhash64("line").isin(hot))).unionByName(emit(lines.where(F.xxhash64("line").isin(hot))).distinct()) if hot else emit(lines)
     group = Window.partitionBy("v")
     shared = of.withColumns({"lo": F.min("h").over(group), "hi": F.max("h").over(group)}).where("lo <> hi")
