@@ -107,8 +107,8 @@ def _within(a: Column, b: Column, bound: Column) -> Column:
     return _once(F.array_union(a, b), near)
 
 
-def _texts(lines: DataFrame, some: DataFrame) -> DataFrame:
-    """Those of lines (d, l, line, n) whose place `at` is in some (at, ...), with its columns and without their n.
+def _texts(lines: DataFrame, some: DataFrame, what: str | Column = "line") -> DataFrame:
+    """Those of lines (d, l, line, n) whose place `at` is in some (at, ...), with its columns and `what`, without their n.
 
     Which lines to shuffle is told from a set of hash bits, whose size grows with the places up to 2**MOST_BITS; where
     it leaves doubt a line is shuffled that isn't needed."""
@@ -122,7 +122,7 @@ def _texts(lines: DataFrame, some: DataFrame) -> DataFrame:
     held = part.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("p", "part"))), lambda s: s["part"])).alias("bits"))
     at = slot("d", "l")
     is_set = F.call_function("shiftright", F.get(F.col("bits"), F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    texts = lines.join(F.broadcast(held), is_set).select(F.struct("d", "l").alias("at"), "line")  # one row, of at most 32 MB
+    texts = lines.join(F.broadcast(held), is_set).select(F.struct("d", "l").alias("at"), what)  # one row, of at most 32 MB
     return texts.join(some, "at")
 
 
@@ -194,19 +194,11 @@ def _places(pairs: DataFrame) -> DataFrame:
     return pairs.select("at").unionByName(pairs.select(F.col("earlier").alias("at")))
 
 
-def _fetch(lines: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(at, line) and (at, code) of the lines at places (at); a code has a character for each word, of 8 bits of its hash."""
-    texts = settle(_texts(lines, places.distinct()).dropDuplicates(["at"]), "texts")
-    code = F.array_join(F.transform(F.split("line", " "), lambda x: F.char(F.xxhash64(x).bitwiseAND(F.lit(255)))), "")
-    return texts, settle(texts.select("at", code.alias("code")), "codes")
-
-
 def _near_long(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
     """(at) of those of lines (d, l, line, n), all of 2 * per words or more, that an earlier one is within the bound of."""
     keys = _groups(lines, unique, per)
     lead = _pairs(keys.select("y", F.explode("xs").alias("x")), per)
-    texts, codes = _fetch(lines, _places(lead))
-    near = settle(_verified(texts, codes, lead, per), "near")
+    near = _verified(lines, lead, per)
     # members that aren't near the earliest of a group: with all earlier ones of small groups, and in large ones with those
     # that share a word which few of the group have
     gone = near.select(F.col("at").alias("gone"))
@@ -216,10 +208,9 @@ def _near_long(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
     many = settle(keys.where(F.col("c") > GROUP).select("v", F.col("xs")[0].alias("x"), F.col("y.at").alias("lead")), "all_many")
     left = many.where(F.col("x.at") != F.col("lead")).join(gone, F.col("x.at") == F.col("gone"), "left_anti").select("v").distinct()
     many = settle(many.select("v", "x").join(left, "v", "left_semi"), "many")
-    for df in (keys, texts, codes):
-        drop(df)
-    texts, codes = _fetch(lines, _places(pairs).unionByName(many.select("x.at")))
-    near = settle(near.unionByName(_verified(texts, codes, pairs, per)).distinct(), "near")
+    drop(keys)
+    near = settle(near.unionByName(_verified(lines, pairs, per)).distinct(), "near")
+    texts = _texts(lines, many.select("x.at").distinct()).dropDuplicates(["at"])
     words = many.join(texts, F.col("x.at") == F.col("at")).select("v", "x", F.explode(F.array_distinct(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)))).alias("w"))
     words = settle(words, "words")
     count = words.groupBy("v", "w").agg(F.count("*").alias("c"))
@@ -227,18 +218,25 @@ def _near_long(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
     rare = settle(rare.select("v", "x", F.explode("k.w").alias("w")), "rare")
     mine = rare.join(near.select(F.col("at").alias("gone")), F.col("x.at") == F.col("gone"), "left_anti")
     more = _pairs(mine.join(rare.select("v", "w", F.col("x").alias("y")), ["v", "w"]), per)
-    return settle(near.unionByName(_verified(texts, codes, more, per)).distinct(), "near")
+    return settle(near.unionByName(_verified(lines, more, per)).distinct(), "near")
 
 
-def _verified(texts: DataFrame, codes: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
-    """`at` of those of pairs (at, earlier) whose lines, of texts (at, line), are within the bound. Words are first told
-    apart by the 8 bits of their hashes in codes (at, code), which can only bring lines nearer, then by themselves."""
+def _verified(lines: DataFrame, pairs: DataFrame, per: int) -> DataFrame:
+    """`at` of those of pairs (at, earlier) of lines (d, l, line, n) that are within the bound. Words are first told apart by
+    8 bits of their hashes, which can only bring lines nearer: so only a character for each word is shuffled for every
+    pair, and whole lines for what these leave."""
     both = lambda pairs, df, c: pairs.join(df.select("at", F.col(c).alias("a")), "at").join(df.select(F.col("at").alias("earlier"), F.col(c).alias("b")), "earlier")
     bound = lambda size: F.floor(F.least(size("a"), size("b")) / per).cast("int")
+    code = F.array_join(F.transform(F.split("line", " "), lambda x: F.char(F.xxhash64(x).bitwiseAND(F.lit(255)))), "")
+    codes = settle(_texts(lines, _places(pairs).distinct(), code.alias("code")).dropDuplicates(["at"]), "codes")
     coded = both(pairs.select("at", "earlier"), codes, "code")
     coded = settle(coded.where(F.call_function("levenshtein", F.col("a"), F.col("b"), bound(F.length)) >= 0).select("at", "earlier"), "coded")
+    drop(codes)
+    texts = settle(_texts(lines, _places(coded).distinct()).dropDuplicates(["at"]), "texts")
     exact = both(coded, texts, "line").select("at", F.split("a", " ").alias("a"), F.split("b", " ").alias("b"))
-    return exact.where(_within(F.col("a"), F.col("b"), bound(F.size))).select("at").distinct()
+    near = settle(exact.where(_within(F.col("a"), F.col("b"), bound(F.size))).select("at").distinct(), "near")
+    drop(texts)
+    return near
 
 
 def like_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, words_per_edit: int | None = WORDS_PER_EDIT) -> DataFrame:
