@@ -152,6 +152,29 @@ def test_like_lines_of_a_large_group(spark, monkeypatch):
     assert {r.d for r in lines.like_lines(spark.createDataFrame(rows, DOCS)).collect()} == set(range(1, 60, 2))
 
 
+def test_large_groups_are_not_expanded_into_pairs(spark, monkeypatch):
+    """Copies of a line that aren't like the group's earliest line, and such that aren't like each other either, meet few others."""
+    monkeypatch.setattr(lines, "GROUP", 3)
+    met, pairs = [], lines._pairs
+    monkeypatch.setattr(lines, "_pairs", lambda *a, **k: met.append(pairs(*a, **k)) or met[-1])
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+
+    def edited(n, other):
+        w = list(base)
+        for at in rng.sample(range(20, 60), n):
+            w[at] = other(at)
+        return " ".join(w)
+
+    copies = [edited(4, lambda at: f"lead{at}"), *[edited(3, lambda at: f"x{rng.randrange(10**6)}") for _ in range(120)]]
+    assert {r.d for r in lines.like_lines(spark.createDataFrame(list(enumerate(copies)), DOCS)).collect()} == set(range(2, 121))
+    assert sum(df.count() for df in met) < 20 * len(copies)
+    apart = [edited(4, lambda at: rng.choice(base[:20])) for _ in range(120)]  # words that all of them have
+    ws = [x.split(" ") for x in apart]
+    near = {i for i, x in enumerate(ws) for y in ws[:i] if sum(a != b for a, b in zip(x, y, strict=True)) <= 6}
+    assert {r.d for r in lines.like_lines(spark.createDataFrame(list(enumerate(apart)), DOCS)).collect()} == near
+
+
 def test_short_copies_go(spark):
     rows = [(1, "Les.\n\n \nno spaces\n"), (2, "Les.\n\n \nno space\n全文没有空格的一行"), (3, "全文没有空格的一行\nLes\nno spaces"), (4, "one two three four five\none two three four six\none two three four")]
     gone = lambda **k: {(r.d, r.l) for r in lines.like_lines(spark.createDataFrame(rows, DOCS), **k).collect()}

@@ -17,8 +17,11 @@ and under any common order of runs their first k * GRAM + 1 share one. These are
 by a sketch of counts, so that a run of frequent words or a frequent passage is hardly ever a key and groups don't grow
 with the data. Keys are dealt out once, as hashes of run and line, and those of a single line end there. Lines of a group of up to GROUP are compared with its earliest and, if
 that isn't enough, with each other; what is left of larger ones is keyed again, by the k + 1 words of the line that fewest members
-of the group have (an edit touches one word), so that a large group is never expanded into its pairs. Pairs
-whose lengths or word parities are too different are left out, the others verified by the true distance in words.
+of the group have (an edit touches one word; the second "the" of a line is another word than the first). Those that share such a
+word are compared with the earliest of them, and only lines that this leaves with all others, so that many copies of a line
+aren't expanded into their pairs. Pairs whose lengths or word parities are too different are left out (in large groups by a
+parity of 512 bits, which tells apart lines that have the same many words but for a few), the others verified by the true
+distance in words.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ SAMPLE, MOST_COUNT_BITS = 8, 23
 HOT = 4096
 #: Members of a group that are compared with each other directly.
 GROUP = 256
+#: Names of the numbers of 64 bits that are the parity of a large group's member.
+PARTS = "abcdefgh"
 #: Bits for each line whose text is looked up, in the set by which texts are told apart before they are shuffled, and bits at most.
 BITS_PER_LINE, MOST_BITS = 16, 28
 
@@ -168,11 +173,26 @@ def _parity(line: Column) -> Column:
     return _once(F.transform(F.split(line, " "), lambda x: F.xxhash64(x)), lambda h: F.struct(part(h, 0).alias("a"), part(h, 6).alias("b")))
 
 
-def _may_be_near(per: int) -> Column:
+def _occurrences(line: Column) -> Column:
+    """Hashes of a line's words, each with its number among the equal ones: an edit takes away one and adds one at most."""
+    numbered = lambda h: F.transform(h, lambda x, i: F.xxhash64(x, i - F.array_position(h, x)))
+    return _once(F.array_sort(F.transform(F.split(line, " "), lambda x: F.xxhash64(x))), numbered)
+
+
+def _wide_parity(occurrences: Column) -> Column:
+    """A number of 64 bits for each of PARTS: as _parity, but all numbers together change in two bits at most by an edit."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda x, i: F.pmod(F.shiftrightunsigned(x, 6), F.lit(len(PARTS))) == i
+    part = lambda i: F.aggregate(occurrences, F.lit(0).cast("long"), lambda a, x: F.when(mine(x, i), a.bitwiseXOR(bit(x))).otherwise(a))
+    return F.struct(*[part(i).alias(c) for i, c in enumerate(PARTS)])
+
+
+def _may_be_near(per: int, wide: bool = False) -> Column:
     """False only for a line y that isn't earlier than x or that lengths or parities show to be further away than the bound."""
     bound = F.floor(F.least("x.n", "y.n") / per)
-    bits = [F.bit_count(F.col(f"x.p.{i}").bitwiseXOR(F.col(f"y.p.{i}"))) <= 2 * bound for i in "ab"]
-    return (F.col("y.at") < F.col("x.at")) & (F.abs(F.col("x.n") - F.col("y.n")) <= bound) & bits[0] & bits[1]
+    differ = [F.bit_count(F.col(f"x.p.{i}").bitwiseXOR(F.col(f"y.p.{i}"))) for i in (PARTS if wide else "ab")]
+    bits = sum(differ[1:], differ[0]) <= 2 * bound if wide else (differ[0] <= 2 * bound) & (differ[1] <= 2 * bound)
+    return (F.col("y.at") < F.col("x.at")) & (F.abs(F.col("x.n") - F.col("y.n")) <= bound) & bits
 
 
 def _groups(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
@@ -185,9 +205,9 @@ def _groups(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
     return settle(keys.groupBy("v", alone.alias("alone")).agg(F.collect_list("x").alias("xs"), F.first("y").alias("y"), F.first("c").alias("c")).drop("alone"), "keys")
 
 
-def _pairs(rows: DataFrame, per: int) -> DataFrame:
+def _pairs(rows: DataFrame, per: int, wide: bool = False) -> DataFrame:
     """(at, earlier), each once, of those of rows (x, y) that may be near."""
-    return settle(rows.where(_may_be_near(per)).select("x.at", F.col("y.at").alias("earlier")).distinct(), "pairs")
+    return settle(rows.where(_may_be_near(per, wide)).select("x.at", F.col("y.at").alias("earlier")).distinct(), "pairs")
 
 
 def _places(pairs: DataFrame) -> DataFrame:
@@ -210,14 +230,22 @@ def _near_long(lines: DataFrame, unique: DataFrame, per: int) -> DataFrame:
     many = settle(many.select("v", "x").join(left, "v", "left_semi"), "many")
     drop(keys)
     near = settle(near.unionByName(_verified(lines, pairs, per)).distinct(), "near")
-    texts = _texts(lines, many.select("x.at").distinct()).dropDuplicates(["at"])
-    words = many.join(texts, F.col("x.at") == F.col("at")).select("v", "x", F.explode(F.array_distinct(F.transform(F.split("line", " "), lambda x: F.xxhash64(x)))).alias("w"))
-    words = settle(words, "words")
+    if many.isEmpty():
+        return near
+    members = _texts(lines, many.select("x.at").distinct(), _occurrences(F.col("line")).alias("ws")).dropDuplicates(["at"])
+    members = settle(members.select("at", "ws", _wide_parity(F.col("ws")).alias("p")), "members")
+    of = F.col("x.at") == F.col("at")
+    words = settle(many.join(members, of).select("v", F.struct("x.at", "x.n").alias("x"), F.explode("ws").alias("w")), "words")
     count = words.groupBy("v", "w").agg(F.count("*").alias("c"))
     rare = words.join(count, ["v", "w"]).groupBy("v", "x").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "w"))), 1, (F.floor(F.first("x.n") / per) + 1).cast("int")).alias("k"))
-    rare = settle(rare.select("v", "x", F.explode("k.w").alias("w")), "rare")
-    mine = rare.join(near.select(F.col("at").alias("gone")), F.col("x.at") == F.col("gone"), "left_anti")
-    more = _pairs(mine.join(rare.select("v", "w", F.col("x").alias("y")), ["v", "w"]), per)
+    rare = settle(rare.join(members.select("at", "p"), of).select("v", F.struct("x.at", "x.n", "p").alias("x"), F.explode("k.w").alias("w")), "rare")
+    drop(words)
+    rest = lambda: rare.join(near.select(F.col("at").alias("gone")), F.col("x.at") == F.col("gone"), "left_anti")
+    # with the earliest that shares the word, as copies of a line do that is not like the group's earliest
+    lead = _pairs(rest().join(rare.groupBy("v", "w").agg(F.min("x").alias("y")), ["v", "w"]), per, wide=True)
+    near = settle(near.unionByName(_verified(lines, lead, per)).distinct(), "near")
+    more = _pairs(rest().join(rare.select("v", "w", F.col("x").alias("y")), ["v", "w"]), per, wide=True)
+    more = settle(more.join(lead, ["at", "earlier"], "left_anti"), "more")
     return settle(near.unionByName(_verified(lines, more, per)).distinct(), "near")
 
 
