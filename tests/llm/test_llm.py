@@ -434,6 +434,25 @@ def test_warc_cut_off(tmp_path):
         read("b.warc", record.replace(b"Content-Length: 2", b"Content-Size: 2"), "true")
 
 
+def test_warc_member_across_the_end_of_the_buffer(tmp_path):
+    def member(i, payload):
+        return warc._member(warc.encode_record("response", f"urn:x:{i}", "http://a", None, hashlib.sha1(payload).digest(), len(payload), payload))
+
+    noise = np.random.default_rng(0).bytes(1 << 20)
+    for left in (1, 2, 12, 23, 24):  # bytes of the second member that the first MB holds
+        size = (1 << 20) - 2000
+        while (short := (1 << 20) - left - len(member(1, noise[:size]))) != 0:
+            size += short
+        first, rest = member(1, noise[:size]), member(2, b"two")
+        data = first + rest * 2
+        (tmp_path / f"{left}.warc.gz").write_bytes(data)
+        for payload in ("true", "false"):
+            reader = warc._Reader({"path": f"{tmp_path}/{left}.warc.gz", "payload": payload}, None)
+            ends = [0, len(first) + len(rest), len(data)]
+            parts = [warc._Part(f"{tmp_path}/{left}.warc.gz", a, b) for a, b in zip(ends, ends[1:], strict=False)]
+            assert [[row["record_id"] for row in reader.records(p)] for p in parts] == [["urn:x:1", "urn:x:2"], ["urn:x:2"]]
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))

@@ -218,7 +218,8 @@ class _Reader(DataSourceReader):
             at, end = part.start, part.end if part.end is not None else raw.size()
             while at < end:
                 f.seek(at)
-                head = f.peek(24)[:24]
+                head = f.read(24)  # peek would stop where the buffer ends
+                f.seek(at)
                 if head[:2] == b"\x1f\x8b" and not (len(head) == 24 and head[3] & 4 and head[12:14] == b"sl"):
                     yield from self.stream(f)  # members of unknown length: the rest of the file is read as one stream
                     return
