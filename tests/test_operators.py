@@ -154,6 +154,11 @@ def test_fold_sizes():
     assert model.fold_ends(10) == [5, 6, 7, 8, 9, 10]
 
 
+def test_fold_sizes_are_exact_shares():
+    for n in (720, 720_000, 1_234_567):
+        assert model.fold_ends(n) == [n * k // 10 for k in range(5, 11)]
+
+
 def test_risk_edges_and_ties(spark):
     preds = spark.createDataFrame([(i, x) for i, x in enumerate((50.0, 50.01, 145.0, 145.01))], f"customer_id long, {report.RAW} double")
     assert [r.risk_flag for r in report.risk_bands(preds).orderBy("customer_id").collect()] == ["Dormant", "At Risk", "At Risk", "Active"]
