@@ -159,6 +159,16 @@ def test_fold_sizes_are_exact_shares():
         assert model.fold_ends(n) == [n * k // 10 for k in range(5, 11)]
 
 
+def _scored(spark, n):
+    rows = spark.createDataFrame([(i, 1, 2, 3) for i in range(n)], "customer_id long, hist_months_active long, y long, p long")
+    return model.assign_folds(rows, CFG)
+
+
+def test_errors_of_folds_of_exact_shares(spark):
+    got = evaluate.out_of_fold(_scored(spark, 720)).collect()
+    assert {r.fold: r.n for r in got} == {1: 72, 2: 72, 3: 72, 4: 72, 5: 72, None: 360}
+
+
 def test_risk_edges_and_ties(spark):
     preds = spark.createDataFrame([(i, x) for i, x in enumerate((50.0, 50.01, 145.0, 145.01))], f"customer_id long, {report.RAW} double")
     assert [r.risk_flag for r in report.risk_bands(preds).orderBy("customer_id").collect()] == ["Dormant", "At Risk", "At Risk", "Active"]
