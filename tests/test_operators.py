@@ -169,6 +169,12 @@ def test_errors_of_folds_of_exact_shares(spark):
     assert {r.fold: r.n for r in got} == {1: 72, 2: 72, 3: 72, 4: 72, 5: 72, None: 360}
 
 
+def test_written_diagnostics_have_exact_shares(spark, tmp_path):
+    io.write_csv(evaluate.out_of_fold(_scored(spark, 720)), str(tmp_path / "d"))
+    got = io.read_csv(spark, str(tmp_path / "d"), "fold int, n long, rmsle double, rmse double, mae double").collect()
+    assert {r.fold: r.n for r in got} == {1: 72, 2: 72, 3: 72, 4: 72, 5: 72, None: 360}
+
+
 def test_risk_edges_and_ties(spark):
     preds = spark.createDataFrame([(i, x) for i, x in enumerate((50.0, 50.01, 145.0, 145.01))], f"customer_id long, {report.RAW} double")
     assert [r.risk_flag for r in report.risk_bands(preds).orderBy("customer_id").collect()] == ["Dormant", "At Risk", "At Risk", "Active"]
