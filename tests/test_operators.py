@@ -1,5 +1,6 @@
 """Edge cases on a few rows."""
 
+import math
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -175,6 +176,26 @@ def test_written_diagnostics_have_exact_shares(spark, tmp_path):
     assert {r.fold: r.n for r in got} == {1: 72, 2: 72, 3: 72, 4: 72, 5: 72, None: 360}
 
 
+def test_customers_without_transactions_keep_snapshot_and_demographics(spark):
+    rows = [(i, T - timedelta(days=40 * j + 3 * i + 1), "debit" if (i + j) % 3 else "credit", 10.0 * i + j * j, "a" if j % 2 else "b", "c") for i in range(1, 7) for j in range(4)]
+    t = spark.createDataFrame(rows, "customer_id long, txn_ts timestamp_ntz, debit_credit string, amount_abs double, channel string, category string")
+    snap = spark.createDataFrame([(i, i / 2) for i in (1, 2, 8)], "customer_id long, bal double")
+    demo = spark.createDataFrame([(i, i * 3) for i in range(1, 10)], "customer_id long, level int")
+    labels = spark.createDataFrame([(i, i) for i in (1, 2, 3, 4, 7)], f"customer_id long, {CFG.target} long")
+    ids = spark.createDataFrame([(i,) for i in (5, 6, 8)], "customer_id long")
+    for fitted in (False, True):
+        out = assemble.assemble(t, snap, demo, labels, ids, replace(CFG, trees=5), fitted=fitted)
+        got = {r.customer_id: r for r in out.collect()}
+        assert {i: (r.bal, r.level, r.hist_total_txn) for i, r in got.items()} == {i: ({1: 0.5, 2: 1.0, 8: 4.0}.get(i), 3 * i, 4 if i < 7 else None) for i in range(1, 9)}
+        assert {i for i, r in got.items() if fitted and r.customer_segment is not None} == (set(range(1, 7)) if fitted else set())
+        assert out.columns.index("bal") < out.columns.index("level") and len(set(out.columns)) == len(out.columns)
+
+
+def test_decay_has_the_last_bits_of_sql(spark):
+    out = one(rowlevel.decay(txn(spark, [(1, T - timedelta(days=127), "debit", 1.0)]), CFG))
+    assert out["decay30d_w_debit"] == math.exp(-math.log(2) / 30 * 127) and out["decay30d_dc_ratio"] == out["decay30d_w_debit"] / 1e-9
+
+
 def test_risk_edges_and_ties(spark):
     preds = spark.createDataFrame([(i, x) for i, x in enumerate((50.0, 50.01, 145.0, 145.01))], f"customer_id long, {report.RAW} double")
     assert [r.risk_flag for r in report.risk_bands(preds).orderBy("customer_id").collect()] == ["Dormant", "At Risk", "At Risk", "Active"]
