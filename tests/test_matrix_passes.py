@@ -1,7 +1,10 @@
 """Percentiles by narrowing, k-means with all restarts together, isolation trees grown in tasks, and fused groups."""
 
 import math
+import os
 import random
+from dataclasses import replace
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -155,3 +158,30 @@ def test_axes_of_many_values(spark):
     best = np.linalg.svd(x, compute_uv=False)[:5]
     assert np.linalg.norm(x @ got, axis=0) == pytest.approx(best, rel=1e-3)
     assert categories.axes(long.limit(0), CFG, categories.Vocabulary.of(long.limit(0), CFG), 5).shape == (0, 0)
+
+
+def test_few_copies_of_the_matrix_are_written(spark, monkeypatch):
+    from tidemark.operators import assemble
+    from tidemark.sources import shared
+
+    wide, settled = [], shared.settle
+
+    def counted(df, name):
+        wide.append((name, len(df.columns)))
+        return settled(df, name)
+
+    rng = random.Random(1)
+    rows = [(i % 30, CFG.cutoff - timedelta(days=rng.randint(0, 500)), rng.choice(["debit", "credit"]), rng.uniform(0, 50), rng.choice("ab"), rng.choice("xyz")) for i in range(300)]
+    txn = spark.createDataFrame(rows, "customer_id long, txn_ts timestamp_ntz, debit_credit string, amount_abs double, channel string, category string")
+    ids = spark.range(30).select(F.col("id").alias("customer_id"))
+    labels = ids.where("customer_id < 20").withColumn(CFG.target, F.lit(1))
+    for m in (assemble, matrix, quantiles):
+        monkeypatch.setattr(m, "settle", counted)
+    files = lambda: {x for d, _, names in os.walk(root) for x in (d,) if any(n.startswith("part-") for n in names)}
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = files()
+    out = assemble.assemble(txn, None, None, labels, ids.where("customer_id >= 20"), replace(CFG, trees=5))
+    assert out.count() == 30 and out.where("customer_segment is null or anomaly_iso_flag is null").count() == 0
+    assert [n for n, columns in wide if columns > 100 or n in ("rows", "scaled", "values")] == ["features", "scored"]
+    left = {os.path.basename(f) for f in files() - before}
+    assert "scored" in left and not left & {"features", "transactions"}

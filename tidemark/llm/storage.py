@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from tidemark.sources.shared import new_path, settle
+from tidemark.sources.shared import drop, new_path, settle
 
 __all__ = ["drop", "new_path", "settle", "settle_bucketed"]
 
@@ -19,12 +19,3 @@ def settle_bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     return out
-
-
-def drop(df: DataFrame) -> None:
-    """Remove the files of a settled frame that no later step reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
