@@ -146,3 +146,23 @@ def test_pair_density(spark):
     rows = [(0.0, 0.5), (1.0, 1.25), (3.0, 3.0), (1000.0, 7.0), (1000.0, 7.5), (None, 1.0), (2.0**40, 2.0**40 * 1.9)]
     got = {(r.y_cell, r.p_cell): (r.n, r.least_y, r.largest_p) for r in evaluate.pair_density(spark.createDataFrame(rows, "y double, p double")).collect()}
     assert got == {(0, 0): (1, 0.0, 0.5), (1, 2): (1, 1.0, 1.25), (7, 7): (1, 3.0, 3.0), (40, 12): (2, 1000.0, 7.5), (161, 164): (1, 2.0**40, 2.0**40 * 1.9)}
+
+
+def test_learners_trained_together_are_those_trained_alone(spark, matrix, monkeypatch):
+    passes, one_pass = [], boost._pass
+    monkeypatch.setattr(boost, "_pass", lambda *a, **k: passes.append(1) or one_pass(*a, **k))
+    few = {"rounds": 2, "leaves": 6, "depth": 3}
+    alone, most = {}, 0
+    for k in ("xgb", "lgb", "active"):
+        passes.clear()
+        alone[k] = model.train_activity(matrix, ["a", "b", "c"], CFG) if k == "active" else model.train_counts(matrix, ["a", "b", "c"], CFG, k, few)
+        most = max(most, len(passes))
+    passes.clear()
+    found = model.train_boosted(matrix, ["a", "b", "c"], CFG, few, activity=True)
+    assert len(passes) <= most + 5
+    for kind, fitted in alone.items():
+        for a, b in zip(fitted.models, found[kind].models, strict=True):
+            assert [(t.feature, t.bin, pytest.approx(t.value)) for t in a.trees] == [(t.feature, t.bin, t.value) for t in b.trees] and a.params == b.params
+        out = "p_active" if kind == "active" else "p"
+        want = {r.customer_id: r[out] for r in fitted.out_of_fold.collect()}
+        assert {r.customer_id: pytest.approx(r[out]) for r in found[kind].out_of_fold.collect()} == want
